@@ -62,15 +62,20 @@ def encode_passages(raw: np.ndarray, offsets: np.ndarray, passage: int) -> tuple
     length = np.diff(bounds)
     which = np.repeat(np.arange(n, dtype=np.int32), length)
     folded = raw | ((CLASS[raw] == 1) << 5).astype(np.uint8)
-    b = np.concatenate((folded, folded[-1:], folded[-1:])).astype(np.uint32)
-    h = b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)
+    # Trigrams that reach beyond a document see zeros, so features don't depend on neighbours.
+    b = np.concatenate((folded, [0, 0])).astype(np.uint32)
+    second, third = b[1:-1].copy(), b[2:].copy()
+    ends = offsets[1:][sizes > 0]
+    second[ends - 1] = third[ends - 1] = 0
+    third[ends[sizes[sizes > 0] > 1] - 2] = 0
+    h = b[:-2] * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77) + third * np.uint32(0xC2B2AE3D)
     h ^= h >> np.uint32(15)
     h = (h * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - 9)
     grams = np.bincount(which.astype(np.int64) * BUCKETS + h, minlength=n * BUCKETS).reshape(n, BUCKETS)
     c = CLASS[raw]
     kinds = np.bincount(which.astype(np.int64) * CLASSES + c, minlength=n * CLASSES).reshape(n, CLASSES)
     change = np.zeros(len(c), bool)
-    change[:-1] = c[:-1] == c[1:]  # a class that repeats itself
+    change[:-1] = (c[:-1] == c[1:]) & (which[:-1] == which[1:])  # a class that repeats itself
     again = np.bincount(which[change].astype(np.int64) * CLASSES + c[change], minlength=n * CLASSES).reshape(n, CLASSES)
     out = np.empty((n, WIDTH), np.float32)
     size = np.maximum(length, 1)[:, None].astype(np.float32)
@@ -238,12 +243,13 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """The documents that the classifier doesn't reject, with all their columns."""
     model = fit(docs, labels, id_col, text_col, passage=passage, **fitting)
     threshold = model.threshold if model else 0.0
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            raw, offsets, _ = utf8(batch.column(at).cast(pa.string()))
-            s = scores(raw, offsets, model, passage)
-            yield batch.filter(pa.array([v is not None and v >= threshold for v in s], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def good(text: pa.Array) -> pa.Array:
+        out: list[bool] = []
+        for at in range(0, len(text), 512):
+            raw, offsets, _ = utf8(text.slice(at, 512))
+            out += [v is not None and v >= threshold for v in scores(raw, offsets, model, passage)]
+        return pa.array(out, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(col(docs, text_col).cast("string")))
