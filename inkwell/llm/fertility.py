@@ -4,8 +4,9 @@ A public vocabulary that wasn't fitted to a text spends tokens on it in a way th
 from junk: characters per token, the share of byte-fallback tokens, and the entropy of the
 token distribution. Bands are Tukey fences over all documents of one language (of one script,
 where the language is null) and one power of two of length, because entropy grows with length.
-A group of fewer than `least` documents takes the fences of its language, and that of fewer
-than `least` those of all documents.
+A group of fewer than `least` documents takes the fences of all documents of its length; where
+these are too few as well, nothing tells junk from prose and the document is kept. Line breaks
+and tabs, which the vocabulary spells as bytes, don't count as fallback.
 
 The texts are read and tokenised once; the measures (a few numbers a document) are stored in
 the shared folder, because bands and verdicts both need them.
@@ -45,7 +46,8 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = self.model.get_piece_size()
         self.size = n
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(n)])
+        spaces = {"<0x09>", "<0x0A>", "<0x0D>"}
+        self.is_byte = np.array([self.model.is_byte(i) and self.model.id_to_piece(i) not in spaces for i in range(n)])
         self.width = "<u2" if n <= 1 << 16 else "<u4"
         space = self.model.piece_to_id("▁")
         self.ids = Remember(
@@ -116,7 +118,7 @@ def fences(measured: DataFrame, by: list[str], prefix: str, k: float, least: int
     """Lower and upper limits a group: quartiles widened by k interquartile ranges."""
     aggs = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(m) for m in MEASURES]
     out = measured.where("n_tokens > 0").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs)
-    out = out.where(F.col("n") >= least) if by else out
+    out = out.where(F.col("n") >= least)
     picked = [F.col(b).alias(f"{prefix}_{b}") for b in by]
     for m in MEASURES:
         q1, q3 = F.col(m)[0], F.col(m)[1]
@@ -140,20 +142,19 @@ def fertility_rules(
     k: interquartile ranges beyond the quartiles. floors: the least interquartile range of each
     measure, so that a very uniform group doesn't reject what differs in nothing that matters.
     """
-    floors = {"chars_per_token": 0.05, "byte_share": 0.01, "entropy": 0.15} | (floors or {})
+    floors = {"chars_per_token": 0.1, "byte_share": 0.01, "entropy": 0.2} | (floors or {})
     m = stored(measure(docs, id_col, text_col, lang_col, tokenizer)).withColumn(
         "size_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")
     )
     fine = fences(m, ["band", "size_class"], "f", k, least, floors)
-    wide = fences(m, ["band"], "w", k, least, floors)
-    every = fences(m, [], "a", k, least, floors)
+    wide = fences(m, ["size_class"], "w", k, least, floors)
     # AQE turns these into broadcasts if the band tables measure small, else they are shuffled.
     j = m.join(fine, (m.band == fine.f_band) & (m.size_class == fine.f_size_class), "left")
-    j = j.join(wide, j.band == wide.w_band, "left").crossJoin(every)
+    j = j.join(wide, j.size_class == wide.w_size_class, "left")
     reasons = [F.when(F.coalesce("n_tokens", F.lit(0)) == 0, F.lit("empty"))]
     for x in MEASURES:
-        lo = F.coalesce(f"f_{x}_lo", f"w_{x}_lo", f"a_{x}_lo")
-        hi = F.coalesce(f"f_{x}_hi", f"w_{x}_hi", f"a_{x}_hi")
+        lo = F.coalesce(f"f_{x}_lo", f"w_{x}_lo")
+        hi = F.coalesce(f"f_{x}_hi", f"w_{x}_hi")
         reasons += [F.when(F.col(x) < lo, F.lit(f"{x}_low")), F.when(F.col(x) > hi, F.lit(f"{x}_high"))]
     why = F.filter(F.array(*reasons), lambda r: r.isNotNull())
     return j.select("doc_id", "band", "n_tokens", *MEASURES, why.alias("reasons")).withColumn(
