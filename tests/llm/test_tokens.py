@@ -190,7 +190,9 @@ def test_fertility_measures(spark, odd, none, nameless):
         p = np.unique(ids, return_counts=True)[1] / len(ids)
         assert got.chars_per_token == pytest.approx(len(r.text) / len(ids))
         assert got.entropy == pytest.approx(-(p * np.log2(p)).sum(), abs=1e-9)
-        assert got.byte_share == pytest.approx(np.mean([model.model.is_byte(i) for i in ids]))
+        assert got.byte_share == pytest.approx(np.mean(model.is_byte[ids]))
+    newline = model.model.encode("a\nb")[1]
+    assert model.model.is_byte(newline) and not model.is_byte[newline]
     assert rows[5].band == "script:Latin" and rows[8].band == "xx"
     assert fertility.fertility_rules(none).count() == 0
     assert fertility.fertility_rules(nameless).where("keep").count() == 0
