@@ -5,8 +5,10 @@ from junk: characters per token, the share of byte-fallback tokens, and the entr
 token distribution. Bands are Tukey fences over all documents of one language (of one script,
 where the language is null) and one power of two of length, because entropy grows with length.
 A group of fewer than `least` documents takes the fences of all documents of its length; where
-these are too few as well, nothing tells junk from prose and the document is kept. Line breaks
-and tabs, which the vocabulary spells as bytes, don't count as fallback.
+these are too few as well, those of its language, if it is no shorter than the
+language's median (a shorter text varies more; a longer one has more entropy, not less). A
+language with fewer than `least` documents rejects nothing. Line breaks and tabs, which the vocabulary spells
+as bytes, don't count as fallback.
 
 The texts are read and tokenised once; the measures (a few numbers a document) are stored in
 the shared folder, because bands and verdicts both need them.
@@ -117,9 +119,11 @@ def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str, tokenize
 def fences(measured: DataFrame, by: list[str], prefix: str, k: float, least: int, floors: dict) -> DataFrame:
     """Lower and upper limits a group: quartiles widened by k interquartile ranges."""
     aggs = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), 10_000).alias(m) for m in MEASURES]
-    out = measured.where("n_tokens > 0").groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *aggs)
+    out = measured.where("n_tokens > 0").groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("n_tokens", 0.5).alias("median"), *aggs
+    )
     out = out.where(F.col("n") >= least)
-    picked = [F.col(b).alias(f"{prefix}_{b}") for b in by]
+    picked = [F.col(b).alias(f"{prefix}_{b}") for b in (*by, "median")]
     for m in MEASURES:
         q1, q3 = F.col(m)[0], F.col(m)[1]
         spread = k * F.greatest(q3 - q1, F.lit(floors[m]))
@@ -148,13 +152,15 @@ def fertility_rules(
     )
     fine = fences(m, ["band", "size_class"], "f", k, least, floors)
     wide = fences(m, ["size_class"], "w", k, least, floors)
+    lang = fences(m, ["band"], "l", k, least, floors)
     # AQE turns these into broadcasts if the band tables measure small, else they are shuffled.
     j = m.join(fine, (m.band == fine.f_band) & (m.size_class == fine.f_size_class), "left")
-    j = j.join(wide, j.size_class == wide.w_size_class, "left")
+    j = j.join(wide, j.size_class == wide.w_size_class, "left").join(lang, j.band == lang.l_band, "left")
     reasons = [F.when(F.coalesce("n_tokens", F.lit(0)) == 0, F.lit("empty"))]
     for x in MEASURES:
-        lo = F.coalesce(f"f_{x}_lo", f"w_{x}_lo")
-        hi = F.coalesce(f"f_{x}_hi", f"w_{x}_hi")
+        own = [F.when(F.col("n_tokens") >= F.col("l_median"), F.col(f"l_{x}_{e}")) for e in ("lo", "hi")]
+        lo = F.coalesce(f"f_{x}_lo", f"w_{x}_lo", own[0])
+        hi = F.coalesce(f"f_{x}_hi", f"w_{x}_hi", own[1] if x != "entropy" else F.lit(None))
         reasons += [F.when(F.col(x) < lo, F.lit(f"{x}_low")), F.when(F.col(x) > hi, F.lit(f"{x}_high"))]
     why = F.filter(F.array(*reasons), lambda r: r.isNotNull())
     return j.select("doc_id", "band", "n_tokens", *MEASURES, why.alias("reasons")).withColumn(
