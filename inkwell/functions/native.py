@@ -82,12 +82,19 @@ def edge_ngrams(terms: Column, least: int, most: int, back: bool = False) -> Col
     )
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often (and in whatever lambda) it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def shingles(terms: Column, n: int, sep: str = " ") -> Column:
     """Every run of n neighbouring terms."""
-    return F.when(
-        F.size(terms) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(terms) - n + 1), lambda i: F.array_join(F.slice(terms, i, n), sep)),
-    ).otherwise(F.array().cast("array<string>"))
+
+    def of(a: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(a) - n + 1)
+        return F.when(F.size(a) >= n, F.transform(starts, lambda i: F.array_join(F.slice(a, i, n), sep)))
+
+    return bound(terms, of)
 
 
 def reverse_terms(terms: Column) -> Column:

@@ -227,7 +227,7 @@ def phrase(tokens: Column, slots: list[tuple[str, ...]], slop: int) -> Column:
     while slots and not slots[0]:
         slots = slots[1:]
 
-    def step(k: int, at: Column, src: Column | None, left: Column, used: list[tuple[Column, int]]) -> Column:
+    def step(toks: Column, k: int, at: Column, src: Column | None, left: Column, used: list[tuple[Column, int]]) -> Column:
         while k < len(slots) and not slots[k]:
             k, at = k + 1, at + 1
         if k >= len(slots):
@@ -241,14 +241,19 @@ def phrase(tokens: Column, slots: list[tuple[str, ...]], slop: int) -> Column:
             for pos, j in used:
                 if set(slots[j]) & set(slots[k]):
                     ok &= t["pos"] != pos
-            return ok & step(k + 1, t["pos"], src, left - cost, [*used, (t["pos"], k)])
+            return ok & step(toks, k + 1, t["pos"], src, left - cost, [*used, (t["pos"], k)])
 
-        return F.exists(tokens, fits)
+        return F.exists(toks, fits)
 
-    def first(t: Column) -> Column:
-        return t["term"].isin(*slots[0]) & step(1, t["pos"], t["src"], F.lit(slop), [(t["pos"], 0)])
+    def begins(toks: Column) -> Column:
+        return F.exists(
+            toks,
+            lambda t: t["term"].isin(*slots[0]) & step(toks, 1, t["pos"], t["src"], F.lit(slop), [(t["pos"], 0)]),
+        )
 
-    return F.exists(tokens, first)
+    # Only the phrase's own terms are looked at, and found once.
+    wanted = {t for s in slots for t in s}
+    return F.exists(F.array(F.filter(tokens, lambda t: t["term"].isin(*wanted))), begins)
 
 
 def idf(n_docs: Column, df: Column, kind: str) -> Column:
