@@ -124,6 +124,19 @@ def joined(values: Column) -> Column:
     return F.aggregate(values, start, add)
 
 
+def _lists(rows: list[list[tuple[str, int]] | None]) -> pa.Array:
+    """Token lists as Arrow, built flat."""
+    offsets = [0]
+    for r in rows:
+        offsets.append(offsets[-1] + len(r or ()))
+    flat = [x for r in rows if r for x in r]
+    values = pa.StructArray.from_arrays(
+        [pa.array([t for t, _ in flat], pa.string()), pa.array([p for _, p in flat], pa.int32())], names=["term", "pos"]
+    )
+    mask = pa.array([r is None for r in rows], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
+
+
 def analysed(name: str):
     """An Arrow-batched function from text to tokens, for analysers that need Python."""
 
@@ -132,12 +145,9 @@ def analysed(name: str):
         analyze = languages.analyzer(name)
         out = []
         for s in text.to_pylist():
-            if s is None:
-                out.append(None)
-                continue
-            found = analyze(s)
-            out.append([{"term": t.term, "pos": p} for t, p in zip(found, T.positions(found))])
-        return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int32())])))
+            found = None if s is None else analyze(s)
+            out.append(None if found is None else list(zip([t[0] for t in found], T.positions(found))))
+        return _lists(out)
 
     return run.asNondeterministic()  # so that it is never inlined into a lambda
 
@@ -160,10 +170,10 @@ def tokens(text: Column, analyzer: str, many: bool = False) -> Column:
             for s in texts or ():
                 if s is not None:
                     found = analyze(s)
-                    row += [{"term": t.term, "pos": p} for t, p in zip(found, T.positions(found, max(0, last + GAP)))]
-                    last = row[-1]["pos"] if row else -GAP
+                    row += zip([t[0] for t in found], T.positions(found, max(0, last + GAP)))
+                    last = row[-1][1] if row else -GAP
             out.append(row)
-        return pa.array(out, pa.list_(pa.struct([("term", pa.string()), ("pos", pa.int32())])))
+        return _lists(out)
 
     return run.asNondeterministic()(text)
 

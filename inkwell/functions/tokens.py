@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from functools import lru_cache
+from typing import NamedTuple
 
 import regex
 
 
-@dataclass(frozen=True, slots=True)
-class Token:
+class Token(NamedTuple):
     term: str
     start: int = 0
     end: int = 0
@@ -99,11 +100,15 @@ _ALNUM = regex.compile(r"[\p{L}\p{N}\p{M}]")
 _ONE = regex.compile(r"[\p{Han}\p{Hiragana}]")
 
 
-def unicode_words(text: str) -> list[Token]:
-    """Words by the Unicode text segmentation rules; segments without letters or digits go."""
-    spans, cuts = [], [m.start() for m in _WORD.finditer(text)]
-    for a, b in zip(cuts, [*cuts[1:], len(text)]):
-        seg = text[a:b]
+_SPACED = re.compile("[^ \\t\\n\\r]+")
+
+
+@lru_cache(200_000)
+def _segments(chunk: str) -> tuple[tuple[int, int, str], ...]:
+    """Word spans of text without white space, which no word straddles: chunks recur."""
+    spans, cuts = [], [m.start() for m in _WORD.finditer(chunk)]
+    for a, b in zip(cuts, [*cuts[1:], len(chunk)]):
+        seg = chunk[a:b]
         if not seg or not _ALNUM.search(seg):
             continue
         if _ONE.match(seg):  # ideographs and hiragana are words one by one
@@ -112,6 +117,20 @@ def unicode_words(text: str) -> list[Token]:
             spans.append((a, b, "ideographic"))
         else:
             spans.append((a, b, "numeric" if _NUM.match(seg) and not regex.search(r"\p{L}", seg) else "alphanum"))
+    return tuple(spans)
+
+
+def unicode_words(text: str) -> list[Token]:
+    """Words by the Unicode text segmentation rules; segments without letters or digits go."""
+    spans = []
+    for m in _SPACED.finditer(text):
+        chunk, at = m[0], m.start()
+        if chunk.isascii() and chunk.isalpha():
+            spans.append((at, m.end(), "alphanum"))
+        elif len(chunk) > 256:
+            spans += [(at + a, at + b, t) for a, b, t in _segments.__wrapped__(chunk)]
+        else:
+            spans += [(at + a, at + b, t) for a, b, t in _segments(chunk)]
     return _spans(text, spans)
 
 
@@ -142,8 +161,8 @@ def character_tokens(accept: Callable[[str], bool]) -> Tokenizer:
     return run
 
 
-letters = character_tokens(lambda c: unicodedata.category(c)[0] == "L")
-not_space = character_tokens(lambda c: not c.isspace() or "\x1c" <= c <= "\x1f")
+letters = pattern_tokens(r"\p{L}+")
+not_space = pattern_tokens(r"\S+")
 
 
 def single(text: str) -> list[Token]:
@@ -159,7 +178,7 @@ def exceptions(pattern: str, rest: Tokenizer) -> Tokenizer:
 
         def between(upto: int) -> None:
             for t in rest(text[at:upto]):
-                out.append(replace(t, start=t.start + byte, end=t.end + byte))
+                out.append(t._replace(start=t.start + byte, end=t.end + byte))
 
         for m in rx.finditer(text):
             if not m[0]:
@@ -186,9 +205,14 @@ web_words = exceptions(WEB, unicode_words)
 
 def each(change: Callable[[str], str], keywords: bool = False) -> Filter:
     """A change of every term; keywords=True leaves those marked as keywords alone."""
+    change = lru_cache(100_000)(change)
 
     def run(tokens: list[Token]) -> list[Token]:
-        return [t if keywords and t.keyword else replace(t, term=change(t.term)) for t in tokens]
+        out = []
+        for t in tokens:
+            term = t[0] if keywords and t.keyword else change(t[0])
+            out.append(t if term == t[0] else Token(term, *t[1:]))
+        return out
 
     return run
 
@@ -200,7 +224,7 @@ def dropping(keep: Callable[[Token], bool]) -> Filter:
         out, carry = [], 0
         for t in tokens:
             if keep(t):
-                out.append(replace(t, incr=t.incr + carry) if carry else t)
+                out.append(t._replace(incr=t.incr + carry) if carry else t)
                 carry = 0
             else:
                 carry += t.incr
@@ -230,7 +254,7 @@ def _grams(tokens: list[Token], cut: Callable[[str], Iterable[str]]) -> list[Tok
     out = []
     for t in tokens:
         for k, g in enumerate(cut(t.term)):
-            out.append(replace(t, term=g, incr=0 if k else 1))
+            out.append(t._replace(term=g, incr=0 if k else 1))
     return out
 
 
@@ -304,7 +328,7 @@ possessive = each(lambda s: s[:-2] if len(s) > 1 and s[-2] in "'’＇" and s[-1
 
 def keyword_marker(words: Iterable[str]) -> Filter:
     words = frozenset(words)
-    return lambda tokens: [replace(t, keyword=True) if t.term in words else t for t in tokens]
+    return lambda tokens: [t._replace(keyword=True) if t.term in words else t for t in tokens]
 
 
 def camel_case(tokens: list[Token]) -> list[Token]:
@@ -369,10 +393,10 @@ def cjk_bigrams(unigrams: bool = False) -> Filter:
 
         def flush() -> None:
             if len(chars) == 1 and not unigrams:
-                out.append(replace(chars[0], type="single"))
+                out.append(chars[0]._replace(type="single"))
             for i, c in enumerate(chars):
                 if unigrams:
-                    out.append(replace(c, type="single"))
+                    out.append(c._replace(type="single"))
                 if i + 1 < len(chars):
                     d = chars[i + 1]
                     out.append(Token(c.term + d.term, c.start, d.end, 0 if unigrams else c.incr, "double"))
