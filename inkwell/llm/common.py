@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
 TOKENIZERS = "/opt/tokenizers"
@@ -89,11 +90,20 @@ def loaded(kind, path: str):
     return _LOADED[kind, path]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what one yields stays small however long the texts are."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: at most `rows`, and `size` bytes of text unless one row has more."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        lengths = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
+                lengths += pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

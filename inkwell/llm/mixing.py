@@ -131,18 +131,19 @@ def mix_sources(
         (F.lit(float(budget)) if budget else need).alias("budget"),
     )
     place = offsets.join(shares, F.col("s") == F.col("ss")).select(
-        F.col("s").alias("os"), F.col("b").alias("ob"), "before", "a", "mean", "budget", *(f"w{k}" for k in range(n))
-    )
+        F.col("s").alias("__os"), F.col("b").alias("__ob"),
+        *(F.col(c).alias(f"__{c}") for c in ("before", "a", "mean", "budget", *(f"w{k}" for k in range(n)))),
+    )
     in_bucket = Window.partitionBy("__s", "__b").orderBy("__h", "__n").rowsBetween(Window.unboundedPreceding, -1)
     put = rows.withColumn("__c", F.coalesce(F.sum("__n").over(in_bucket), F.lit(0)))
-    put = put.join(place, (F.col("__s") == F.col("os")) & (F.col("__b") == F.col("ob")))
-    first = F.col("before") + F.col("__c")
-    demand = F.col("budget") * F.col("mean")
+    put = put.join(place, (F.col("__s") == F.col("__os")) & (F.col("__b") == F.col("__ob")))
+    first = F.col("__before") + F.col("__c")
+    demand = F.col("__budget") * F.col("__mean")
     # Epochs e with first + e * supply < demand.
-    last = F.ceil((demand - first) / F.col("a")).cast("int") - 1
+    last = F.ceil((demand - first) / F.col("__a")).cast("int") - 1
     put = put.withColumn("epoch", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))))
-    q = (first + F.col("epoch") * F.col("a")) / F.col("budget")
-    put = put.withColumn("position", due(q, [F.col(f"w{k}") for k in range(n)], list(knots)))
+    q = (first + F.col("epoch") * F.col("__a")) / F.col("__budget")
+    put = put.withColumn("position", due(q, [F.col(f"__w{k}") for k in range(n)], list(knots)))
     if carry:
         return put.select(*(col(put, c) for c in base.columns), "epoch", "position")
     return put.select("doc_id", F.when(F.col("__s") != "", F.substring("__s", 2, 1 << 30)).alias("source"), F.col("__n").alias("n_tokens"), "epoch", "position")

@@ -7,7 +7,8 @@ mean of the passage representations is scored by a logistic layer. Only document
 needed, and a long document with one bad part can still be told.
 
 Training is by Adam on a sample of labelled documents, balanced over the classes, bounded by
-`sample` rows (a parameter, 4,000 by default) and chosen by hash, on the driver. The threshold
+`sample` rows and `sample_bytes` of text (parameters, 4,000 and 64 MB by default) and chosen by
+hash, on the driver. The threshold
 is set on held-out sampled documents: the score below which at most `false_rejects` of the good
 ones fall. Scoring reads every document whole, in one narrow pass without a shuffle.
 
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, runs, slices, utf8
@@ -173,9 +174,13 @@ def set_threshold(model: Mil, score: np.ndarray, y: np.ndarray, false_rejects: f
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    sample: int = 4000, passage: int = 1024, false_rejects: float = 0.01, least: int = 10, **training,
+    sample: int = 4000, sample_bytes: int = 64_000_000, passage: int = 1024, false_rejects: float = 0.01, least: int = 10, **training,
 ) -> Mil | None:
-    """A model from at most `sample` labelled documents, half of them of each class."""
+    """A model from at most `sample` labelled documents, half of them of each class.
+
+    Of each class documents are taken in hash order up to half of sample_bytes; one larger than
+    that is passed over whole.
+    """
     known = (
         labels.select(col(labels, id_col).cast("long").alias("id"), col(labels, label_col).cast("int").alias("y"))
         .where("id is not null and y in (0, 1)")
@@ -187,11 +192,11 @@ def fit(
     chosen = known.where("y = 0").orderBy(order).limit(sample).unionAll(known.where("y = 1").orderBy(order).limit(sample))
     texts = docs.select(col(docs, id_col).cast("long").alias("id"), col(docs, text_col).cast("string").alias("text"))
     # `chosen` has at most 2 * sample rows, whatever the input.
-    found = texts.where("text is not null and text != ''").join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    rows = (
-        found.where("y = 0").orderBy(order).limit(sample // 2)
-        .unionAll(found.where("y = 1").orderBy(order).limit(sample // 2)).toArrow()
-    )
+    sized = texts.where("text is not null and text != ''").select("*", F.octet_length("text").alias("bytes"))
+    found = sized.join(F.broadcast(chosen), "id").where(F.col("bytes") <= sample_bytes // 2).dropDuplicates(["id"])
+    so_far = Window.partitionBy("y").orderBy(order)
+    kept = found.select("*", F.sum("bytes").over(so_far).alias("total"), F.row_number().over(so_far).alias("rank"))
+    rows = kept.where((F.col("total") <= sample_bytes // 2) & (F.col("rank") <= sample // 2)).select("id", "text", "y").toArrow()
     rows = rows.sort_by("id").combine_chunks()
     y = np.asarray(rows["y"].to_numpy(), np.float32)
     if min((y == 0).sum(), (y == 1).sum()) < least:
