@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, keep string, epoch int, position double, n_pii string, size int, `a.b` int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, keep string, epoch int, position double, n_pii string, size int, `a.b` int, a int, mean int, budget int, before int, w0 int, s int"
 
 
 @pytest.fixture(scope="session")
@@ -19,7 +19,7 @@ def odd(spark):
         (7, "mail a.b@example.com or +1 (415) 555-0132\nReleased under the MIT License.", "en", "s1", 80, None, None, 0, 0.1, "", 0, 0),
         (8, "漢字 and 🎉 émigré\x00  end", "xx", "s2", 22, None, None, None, None, None, None, None),
     ]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame([(*r, 1, None, 2, 3, None, 4) for r in rows], SCHEMA)
 
 
 @pytest.fixture(scope="session")
@@ -30,4 +30,4 @@ def none(spark):
 @pytest.fixture(scope="session")
 def nameless(spark):
     """Every value null."""
-    return spark.createDataFrame([(None,) * 12] * 3, SCHEMA)
+    return spark.createDataFrame([(None,) * 18] * 3, SCHEMA)
