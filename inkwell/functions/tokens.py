@@ -273,22 +273,21 @@ def edge_ngrams(least: int, most: int, back: bool = False) -> Filter:
 
 
 def shingles(least: int, most: int, original: bool = True, sep: str = " ", fill: str = "_") -> Filter:
-    """Word n-grams; a gap in the positions counts as filler words before the token."""
+    """Word n-grams ending at each word; a gap in the positions counts as filler words."""
 
     def run(tokens: list[Token]) -> list[Token]:
         out, line = [], []
         for t in tokens:
-            line += [Token(fill, t.start, t.start, 1, "filler")] * max(0, t.incr - 1)
-            line.append(t)
-            first = original
             if original:
                 out.append(t)
-            for n in range(least, most + 1):
-                if n > len(line):
-                    break
-                part = line[-n:]
-                out.append(Token(sep.join(p.term for p in part), part[0].start, t.end, 0 if first else 1, "shingle"))
-                first = True
+            for x in [None] * (t.incr - 1) + [t]:  # None: a filler
+                line = [*line, x][-most:]
+                later = original
+                for n in range(least, len(line) + 1):
+                    part = [p for p in line[-n:] if p]
+                    term = sep.join(p.term if p else fill for p in line[-n:])
+                    out.append(Token(term, part[0].start if part else 0, part[-1].end if part else 0, 0 if later else 1, "shingle"))
+                    later = True
         return out
 
     return run
