@@ -147,7 +147,7 @@ def test_license_edges(odd, none, nameless):
 def test_long_lines_are_scanned_whole(spark):
     grant = next(t for n, _, t in licenses.default_templates() if n == "ISC/grant")
     filler = "and some of the words in this text are of no use to any person " * 3000
-    got = scan(spark, filler + grant + filler, filler + "copyright " + filler)
+    got = scan(spark, filler + grant + " " + filler, filler + "copyright " + filler)
     assert got[0].license == "ISC" and got[0].missing == got[0].added == [] and got[1].license is None
 
 
