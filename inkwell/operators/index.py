@@ -120,6 +120,16 @@ class Index:
         plain = F.coalesce(plain, F.array().cast(native.TOKENS))
         return F.transform(plain, lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"), F.lit(name).alias("src")))
 
+    def length(self, name: str) -> Column:
+        """Tokens of a field; of a stored one a number beside the document, not its tokens."""
+        spec = self.fields.get(name)
+        if spec and spec.kind == COMPOSITE:
+            parts = [s.name for s in self.fields.values() if s.kind in (TEXT, KEYWORD) and spec.takes(s.name)]
+            return reduce(lambda a, b: a + b, map(self.length, parts), F.lit(0))
+        if f"__len_{name}" in self.docs.columns:
+            return F.col(f"__len_{name}")
+        return F.size(self.tokens(name))
+
     def any_value(self, name: str, ok: Callable[[Column], Column]) -> Column:
         if name not in self.fields:
             return F.lit(False)
@@ -178,7 +188,7 @@ class Index:
             return self.stats.where(F.col("field").isin(*names))
         aggs = []
         for k, n in enumerate(names):
-            size = F.size(self.tokens(n))
+            size = self.length(n)
             aggs += [F.count_if(size > 0).alias(f"c{k}"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias(f"t{k}")]
         one = self.docs.agg(F.count(F.lit(1)).alias("total_docs"), *aggs)
         rows = F.array(

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from ..operators.index import COMPOSITE, KEYWORD, TEXT, FieldSpec, Index, Similarity
 from . import merge_plan
 
-SHIFT = 40  # a doc_num is segment << SHIFT | number in the segment
+# A doc_num is segment << SHIFT | partition << ROWS | row: 524,288 segments of 262,144 partitions
+# of 67,108,864 rows.
+SHIFT, ROWS = 44, 26
 
 
 class Files:
@@ -229,12 +231,15 @@ class IndexWriter:
         base = F.lit(segment << SHIFT)
         index = Index.of(rows, self.id_col, self.fields, doc_num=F.monotonically_increasing_id())
         texts = [f for f in index.fields.values() if f.kind in (TEXT, KEYWORD) and f.name != "_id"]
-        plain = F.transform
-        tok = {f"__tok_{f.name}": plain(index.tokens(f.name), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"))) for f in texts}
-        # Row numbers within a segment come from partition ids: squeezed under SHIFT bits.
-        num = F.shiftright("doc_num", 33) * (1 << 22) + F.col("doc_num").bitwiseAND(F.lit((1 << 33) - 1))
+        tok = {f"__tok_{f.name}": F.transform(index.tokens(f.name), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"))) for f in texts}
+        tok |= {f"__len_{f.name}": F.size(index.tokens(f.name)) for f in texts if f.name not in index.stored_tokens}
+        # monotonically_increasing_id has the partition above 33 bits of the row.
+        num = F.shiftleft(F.shiftright("doc_num", 33), ROWS) + F.col("doc_num").bitwiseAND(F.lit((1 << 33) - 1))
         where = f"{self.path}/segment={segment}"
-        index.docs.withColumns(tok).withColumn("doc_num", base + num).write.mode("error").parquet(f"{where}/docs")
+        docs = index.docs.withColumns(tok).withColumns(
+            {f"__len_{n}": F.coalesce(F.size(f"__tok_{n}"), F.lit(0)) for n in index.stored_tokens}
+        )
+        docs.withColumn("doc_num", base + num).write.mode("error").parquet(f"{where}/docs")
         docs = self.spark.read.parquet(f"{where}/docs")
         stored = Index(docs, index.fields, stored_tokens=tuple(f.name for f in texts))
         names = [f.name for f in index.fields.values() if f.kind in (TEXT, KEYWORD, COMPOSITE)]
@@ -283,7 +288,7 @@ class IndexWriter:
             m = self.manifest
             view = IndexReader(self.spark, self.path, self.fields, Manifest(m.epoch, tuple(task), m.deleted))
             docs = view.index().docs
-            columns = [c for c in docs.columns if not c.startswith("__tok_") and c not in ("doc_num", "_id")]
+            columns = [c for c in docs.columns if not c.startswith(("__tok_", "__len_")) and c not in ("doc_num", "_id")]
             n = m.next_segment
             size = self._write(docs.select(*columns), n)
             left = [s for s in m.segments if s not in task]
