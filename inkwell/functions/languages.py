@@ -38,8 +38,8 @@ _STOP = {
     "id": "yang dan di itu dengan untuk tidak ini dari dalam akan pada juga saya ke karena tersebut bisa ada mereka lebih sudah atau saat oleh sebagai adalah apa kita kamu dia kami telah hanya para bahwa seperti menjadi antara tetapi",
 }
 ARTICLES = {
-    "fr": "l m t qu n s j d c jusqu quoiqu lorsqu puisqu",
-    "it": "c l all dall dell nell sull coll pell gl agl dagl degl negl sugl un m t s v d",
+    "fr": "c d j l m n s t puisqu qu lorsqu jusqu quoiqu",
+    "it": "un l d c all agl coll dell degl dall dagl gl nell negl pell sull sugl m s t v",
     "ca": "d l m n s t",
     "ga": "d m b",
 }

@@ -14,8 +14,8 @@ from inkwell.operators.index import COMPOSITE, DATE, KEYWORD, NUMERIC, TEXT, Fie
 @pytest.fixture(scope="module")
 def stub(spark):
     rows = [
-        (1, "marty", " ".join(["beer"] * 4), "couchbase way", None),
-        (2, "steve", "angst beer couch database", "couchbase way", "mister"),
+        (1, "marty", " ".join(["beer"] * 4), "harbour way", None),
+        (2, "steve", "angst beer couch database", "harbour way", "mister"),
         (3, "dustin", "apple beer column dank", None, "mister"),
         (4, "ravi", " ".join(["beer"] * 65), None, None),
         (5, "bobert", "water", None, "mister"),
@@ -45,7 +45,7 @@ CASES = [
     (Q.MultiPhrase((("angst",), ("beer",)), "desc"), {2: 1.5816824552876687}),
     (Q.Boolean(must=(BEER, Q.Term("mister", "title", 5.0))), {2: 0.7916104490288789, 3: 0.7916104490288789}),
     (
-        Q.Boolean(must=(Q.Term("beer", "desc", 5.0), Q.Term("couchbase", "street"), Q.Term("mister", "title", 5.0))),
+        Q.Boolean(must=(Q.Term("beer", "desc", 5.0), Q.Term("harbour", "street"), Q.Term("mister", "title", 5.0))),
         {2: 2.8270039289187148},
     ),
     (
