@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
+from . import snowball
 from . import stemmers as S
 from . import tokens as T
 
@@ -97,11 +98,17 @@ def analyzer(name: str) -> T.Analyzer:
             words, (low, each(norm.indic_normalize), each(norm.hindi_normalize), stop_filter("hi"), each(norm.hindi_stem))
         ),
     }
-    snowball = {"da": S.danish, "no": S.norwegian, "sv": S.swedish, "nl": S.dutch, "ru": S.russian}
+    stems = {"da": S.danish, "no": S.norwegian, "sv": S.swedish, "nl": S.dutch, "ru": S.russian, "fi": snowball.finnish, "hu": snowball.hungarian}
     if name in keep:
         return keep[name]()
-    if name in snowball:
-        return T.Analyzer(words, (low, stop_filter(name), each(snowball[name])))
+    if name in stems:
+        return T.Analyzer(words, (low, stop_filter(name), each(stems[name])))
+    # Snowball in place of the light stemmer.
+    variant = {"de-snowball": snowball.german, "es-snowball": snowball.spanish, "it-snowball": snowball.italian, "fr-snowball": snowball.french}
+    if name in variant:
+        lang = name[:2]
+        elide = (elision_filter(lang),) if lang in ARTICLES else ()
+        return T.Analyzer(words, (low, *elide, stop_filter(lang), each(variant[name])))
     if name in ("ca", "ga"):
         return T.Analyzer(words, (low, elision_filter(name), stop_filter(name)))
     if name in _STOP:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkwell.functions import geo, languages, native, stemmers
+from inkwell.functions import geo, languages, native, snowball, stemmers
 from inkwell.functions import tokens as T
 
 
@@ -117,9 +117,35 @@ def test_stems(lang, pairs):
         assert getattr(stemmers, lang)(w) == want, w
 
 
+@pytest.mark.parametrize(
+    "lang,pairs",
+    [
+        ("german", "aufeinanderfolgenden:aufeinanderfolg kategorischen:kategor häuser:haus"),
+        ("spanish", "chicas:chic cheques:chequ tomando:tom claramente:clar"),
+        ("italian", "abbandonata:abbandon propriamente:propr"),
+        ("french", "continuellement:continuel majestueusement:majestu continuation:continu"),
+        ("hungarian", "babakocsijáért:babakocs házak:ház"),
+        ("finnish", "edeltäjien:edeltäj taloissa:talo"),
+    ],
+)
+def test_snowball(lang, pairs):
+    for pair in pairs.split():
+        w, want = pair.split(":")
+        assert getattr(snowball, lang)(w) == want, w
+
+
+@given(st.text(alphabet="aeioubcdnrstlméèüöäíqgyh'", max_size=14))
+@settings(max_examples=400, deadline=None)
+def test_stemmers_take_any_word(word):
+    for f in ("german", "spanish", "italian", "french", "hungarian", "finnish"):
+        assert len(getattr(snowball, f)(word)) <= len(word) + 3
+    for f in ("english", "porter", "swedish", "danish", "norwegian", "dutch", "russian", "german_light", "spanish_light", "italian_light", "portuguese_light", "french_light", "french_minimal", "hindi_stem", "arabic_light", "sorani_stem"):
+        getattr(stemmers, f)(word)
+
+
 def test_analysers():
     assert terms(languages.analyzer("en")("Leagues Under the Sea's")) == ["leagu", "sea"]
-    for name in (*languages.LANGUAGES, "cjk", "web", "standard", "simple", "keyword", "whitespace"):
+    for name in (*languages.LANGUAGES, "de-snowball", "fr-snowball", "cjk", "web", "standard", "simple", "keyword", "whitespace"):
         assert isinstance(languages.analyzer(name)("Text, 123 и текст متن पाठ"), list)
     with pytest.raises(ValueError):
         languages.analyzer("xx")
