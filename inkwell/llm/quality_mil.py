@@ -86,6 +86,19 @@ def encode_passages(raw: np.ndarray, offsets: np.ndarray, passage: int) -> tuple
     return out, count
 
 
+def encode_all(raw: np.ndarray, offsets: np.ndarray, passage: int, size: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """encode_passages by pieces of about `size` bytes: what it needs beside its result stays small."""
+    total = int((-(-np.diff(offsets) // passage)).sum())
+    x, counts, at, row = np.empty((total, WIDTH), np.float32), [], 0, 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        part, count = encode_passages(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], passage)
+        x[row : row + len(part)] = part
+        counts.append(count)
+        at, row = end, row + len(part)
+    return x, np.concatenate(counts)
+
+
 @dataclass
 class Mil:
     """Encoder E, gates V and U, attention w, score c and bias; threshold on the score."""
@@ -129,20 +142,21 @@ class Mil:
 
 
 def train(
-    x: np.ndarray, count: np.ndarray, y: np.ndarray, hidden: int = 32, gate: int = 16,
+    x: np.ndarray, count: np.ndarray, y: np.ndarray, use: np.ndarray, hidden: int = 32, gate: int = 16,
     epochs: int = 30, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7,
 ) -> Mil:
+    """A model of the documents that `use` (their indices) names."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
     params = {"E": draw(x.shape[1], hidden) * 4, "e": np.zeros(hidden, np.float32), "V": draw(hidden, gate),
               "U": draw(hidden, gate), "w": draw(gate), "c": draw(hidden), "b": np.array(0.0)}
-    model = Mil(x.mean(0), params)
+    model = Mil(x.mean(0, dtype=np.float64).astype(np.float32), params)
     first = np.cumsum(count) - count
     m = {k: np.zeros_like(v) for k, v in params.items()}
     v = {k: np.zeros_like(w) for k, w in params.items()}
     step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(y))
+        order = rng.permutation(use)
         for at in range(0, len(order), batch):
             docs = order[at : at + batch]
             c = count[docs]
@@ -202,12 +216,13 @@ def fit(
     if min((y == 0).sum(), (y == 1).sum()) < least:
         return None
     raw, offsets, _ = utf8(rows["text"])
-    x, count = encode_passages(raw, offsets, passage)
+    x, count = encode_all(raw, offsets, passage)
+    del rows, raw
     # By hash again: four of five documents are trained on, the others set the threshold.
     held = np.random.default_rng(11).random(len(y)) < 0.2
     first = np.cumsum(count) - count
     pick = lambda mask: np.repeat(first[mask], count[mask]) + runs(count[mask])
-    model = train(x[pick(~held)], count[~held], y[~held], **training)
+    model = train(x, count, y, np.flatnonzero(~held), **training)
     set_threshold(model, model.score(x[pick(held)], count[held]), y[held], false_rejects)
     return model
 
