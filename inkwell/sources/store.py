@@ -1,7 +1,7 @@
 """Stored indexes: immutable segments, tombstones, and epochs that name them.
 
-    <path>/segment=<n>/docs       documents with their token arrays
-    <path>/segment=<n>/postings   partitioned by field, sorted by term
+    <path>/docs/segment=<n>       documents with their token arrays
+    <path>/postings/segment=<n>   partitioned by field, sorted by term
     <path>/deleted/epoch=<e>      (segment, doc_num) gone since that epoch
     <path>/manifest/<e>.json      segments, deletions, checksum
 
@@ -126,10 +126,9 @@ class IndexReader:
         return self.spark.read.parquet(*(f"{self.path}/deleted/epoch={e}" for e in self.manifest.deleted)).select("doc_num").distinct()
 
     def _live(self, part: str) -> DataFrame:
-        paths = [f"{self.path}/segment={s}/{part}" for s in self.manifest.segments]
-        # basePath by segment keeps partition columns of postings (field) readable together.
-        frames = [self.spark.read.parquet(p) for p in paths]
-        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+        # One scan, however many segments: their folders are its partitions.
+        reader = self.spark.read.option("basePath", f"{self.path}/{part}").option("mergeSchema", part == "docs")
+        df = reader.parquet(*(f"{self.path}/{part}/segment={s}" for s in self.manifest.segments)).drop("segment")
         gone = self.gone()
         return df if gone is None else df.join(gone, "doc_num", "left_anti")
 
@@ -147,9 +146,9 @@ class IndexReader:
         """Copies the snapshot's files and its manifest."""
         for s in self.manifest.segments:
             for part in ("docs", "postings"):
-                df = self.spark.read.parquet(f"{self.path}/segment={s}/{part}")
+                df = self.spark.read.parquet(f"{self.path}/{part}/segment={s}")
                 w = df.write.mode("error")
-                (w.partitionBy("field") if part == "postings" else w).parquet(f"{path}/segment={s}/{part}")
+                (w.partitionBy("field") if part == "postings" else w).parquet(f"{path}/{part}/segment={s}")
         for e in self.manifest.deleted:
             self.spark.read.parquet(f"{self.path}/deleted/epoch={e}").write.parquet(f"{path}/deleted/epoch={e}")
         Files(self.spark, path).create(f"{path}/manifest/{self.manifest.epoch:012d}.json", self.manifest.text())
@@ -235,12 +234,12 @@ class IndexWriter:
         tok |= {f"__len_{f.name}": F.size(index.tokens(f.name)) for f in texts if f.name not in index.stored_tokens}
         # monotonically_increasing_id has the partition above 33 bits of the row.
         num = F.shiftleft(F.shiftright("doc_num", 33), ROWS) + F.col("doc_num").bitwiseAND(F.lit((1 << 33) - 1))
-        where = f"{self.path}/segment={segment}"
+        docs_path, postings_path = (f"{self.path}/{part}/segment={segment}" for part in ("docs", "postings"))
         docs = index.docs.withColumns(tok).withColumns(
             {f"__len_{n}": F.coalesce(F.size(f"__tok_{n}"), F.lit(0)) for n in index.stored_tokens}
         )
-        docs.withColumn("doc_num", base + num).write.mode("error").parquet(f"{where}/docs")
-        docs = self.spark.read.parquet(f"{where}/docs")
+        docs.withColumn("doc_num", base + num).write.mode("error").parquet(docs_path)
+        docs = self.spark.read.parquet(docs_path)
         stored = Index(docs, index.fields, stored_tokens=tuple(f.name for f in texts))
         names = [f.name for f in index.fields.values() if f.kind in (TEXT, KEYWORD, COMPOSITE)]
         parts = [stored.all_postings(n) for n in names]
@@ -248,7 +247,7 @@ class IndexWriter:
         # Range partitions by (field, term): a term's postings lie in few files, sorted.
         rows.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_num").write.mode(
             "error"
-        ).partitionBy("field").parquet(f"{where}/postings")
+        ).partitionBy("field").parquet(postings_path)
         return docs.count()
 
     def _commit(self, m: Manifest) -> Manifest:
@@ -268,7 +267,8 @@ class IndexWriter:
             self.files.delete(f"{self.path}/manifest/{m.epoch:012d}.json")
             for s in m.segments:
                 if s not in used:
-                    self.files.delete(f"{self.path}/segment={s}")
+                    for part in ("docs", "postings"):
+                        self.files.delete(f"{self.path}/{part}/segment={s}")
 
     def live_sizes(self) -> dict[int, int]:
         """Live documents by segment."""
