@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -219,5 +220,8 @@ def standard(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("count"), F.greatest(F.coalesce(F.max("score"), F.lit(0.0)), F.lit(0.0)).alias("max_score"))
 
 
-def is_array(t: ST.DataType) -> bool:
-    return isinstance(t, ST.ArrayType)
+def timed(action: Callable[[], object]) -> tuple[object, float]:
+    """What an action returns, and the seconds that it took."""
+    start = time.monotonic()
+    result = action()
+    return result, time.monotonic() - start

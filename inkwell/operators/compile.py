@@ -280,10 +280,12 @@ def matches(index: Index, q: Q.Query, scored: bool = True, parts: bool = False)
         if scored:
             stats, df = index.field_stats(list({x.field for x in c.terms})), index.frequencies(hits)
             hits = hits.join(stats, "field").join(df, ["field", "term"])
-            sim = index.similarity
-            w = idf(F.col("doc_count"), F.col("df"), sim.idf)
             avg = F.col("sum_ttf") / F.col("doc_count")
-            add = [bm25(F.col("tf"), F.col("dl"), avg, x.boost(F.col("term")) * w, sim.k1, sim.b) for x in c.terms]
+            add = []
+            for x in c.terms:
+                sim = index.similarity_of(x.field)
+                w = x.boost(F.col("term")) * idf(F.col("doc_count"), F.col("df"), sim.idf)
+                add.append(bm25(F.col("tf"), F.col("dl"), avg, w, sim.k1, sim.b))
         aggs = [F.max(F.when(m, True)).alias(f"m{k}") for k, m in enumerate(mine)]
         if scored:
             aggs += [F.sum(F.when(m, s)).alias(f"s{k}") for k, (m, s) in enumerate(zip(mine, add))]

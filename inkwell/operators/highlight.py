@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import languages
+from ..functions.tokens import frequencies
 from . import query as Q
 
 
@@ -104,3 +105,22 @@ def highlight(
         return pa.array(out, pa.list_(pa.string()))
 
     return run(text)
+
+
+def located(text: Column, terms: set[str], analyzer: str) -> Column:
+    """array<struct<term,pos,start,end>> of the terms' occurrences; start and end are byte offsets."""
+    kind = pa.struct([("term", pa.string()), ("pos", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+
+    @F.arrow_udf("array<struct<term:string,pos:int,start:int,end:int>>")
+    def run(values: pa.Array) -> pa.Array:
+        out = []
+        for s in values.to_pylist():
+            if s is None:
+                out.append(None)
+                continue
+            found = frequencies(languages.analyzer(analyzer)(s))
+            places = ((t, *x) for t in sorted(terms & found.keys()) for x in found[t])
+            out.append([{"term": t, "pos": p, "start": a, "end": b} for t, p, a, b in places])
+        return pa.array(out, pa.list_(kind))
+
+    return run(text)

@@ -74,6 +74,7 @@ class Index:
     postings: DataFrame | None = None
     stored_tokens: tuple[str, ...] = ()
     stats: DataFrame | None = field(default=None, compare=False)
+    by_field: dict[str, Similarity] = field(default_factory=dict)
 
     @staticmethod
     def of(
@@ -96,8 +97,14 @@ class Index:
         )
         return Index(docs, known, similarity, stored_tokens=tuple(s.name for s in python))
 
-    def with_similarity(self, similarity: Similarity) -> "Index":
-        return replace(self, similarity=similarity)
+    def with_similarity(self, similarity: Similarity, name: str | None = None) -> "Index":
+        """Another similarity for all fields, or for one."""
+        if name is None:
+            return replace(self, similarity=similarity)
+        return replace(self, by_field={**self.by_field, name: similarity})
+
+    def similarity_of(self, name: str) -> Similarity:
+        return self.by_field.get(name, self.similarity)
 
     # --- columns on docs -------------------------------------------------------------------
 

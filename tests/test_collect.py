@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from inkwell.operators import aggs as A
 from inkwell.operators import query as Q
 from inkwell.operators.collect import Search, locations, search
-from inkwell.operators.highlight import fragments, highlight, query_terms
-from inkwell.operators.index import DATE, KEYWORD, NUMERIC, TEXT, FieldSpec, Index
+from inkwell.operators.highlight import fragments, highlight, located, query_terms
+from inkwell.operators.index import DATE, KEYWORD, NUMERIC, TEXT, FieldSpec, Index, Similarity
 
 
 @pytest.fixture(scope="module")
@@ -126,6 +126,22 @@ def test_highlights(spark):
     assert f.startswith("…") and f.endswith("…") and "<mark>needle</mark>" in f
 
 
+def test_offsets_of_hits(spark):
+    df = spark.createDataFrame([("é long, long way",), (None,)], "t string")
+    got = [r[0] for r in df.select(located(F.col("t"), {"long", "no"}, "standard")).collect()]
+    assert [tuple(x) for x in got[0]] == [("long", 2, 3, 7), ("long", 3, 9, 13)] and got[1] is None
+
+
+def test_similarity_by_field(spark):
+    df = spark.createDataFrame([(1, "a b", "a"), (2, "a", "c")], "id long, x string, y string")
+    ix = Index.of(df, "id", (FieldSpec("x", TEXT, "simple"), FieldSpec("y", TEXT, "simple")))
+    q = Q.Boolean(should=(Q.Term("a", "x"), Q.Term("a", "y")))
+    scores = lambda i: {r.doc_num: r.score for r in A.matched(i, q).collect()}
+    plain, other = scores(ix), scores(ix.with_similarity(Similarity(idf="lucene"), "y"))
+    assert plain[2] == other[2] and plain[1] != other[1]
+    assert A.timed(lambda: 3)[0] == 3
+
+
 def test_locations(six):
     hits = search(six, Search(Q.Term("marty", "name")))
     assert [(r.term, r.positions) for r in locations(six, Q.Term("marty", "name"), hits).collect()] == [("marty", [1])]
