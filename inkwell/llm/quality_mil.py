@@ -267,8 +267,8 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     @F.arrow_udf("boolean")
     def good(text: pa.Array) -> pa.Array:
         out: list[bool] = []
-        for at in range(0, len(text), 512):
-            raw, offsets, _ = utf8(text.slice(at, 512))
+        for part in slices(iter([pa.RecordBatch.from_arrays([text], names=["text"])])):
+            raw, offsets, _ = utf8(part.column(0))
             out += [v is not None and v >= threshold for v in scores(raw, offsets, model, passage)]
         return pa.array(out, pa.bool_())
 
