@@ -275,11 +275,11 @@ def matches(index: Index, q: Q.Query, scored: bool = True, parts: bool = False)
     ok, score = tree
     found = None
     if c.terms:
-        hits = index.hits(_accepting(c.terms))
+        accepts = _accepting(c.terms)
+        hits = index.hits(accepts)
         mine = [(F.col("field") == x.field) & x.accepts(F.col("term")) for x in c.terms]
         if scored:
-            stats, df = index.field_stats(list({x.field for x in c.terms})), index.frequencies(hits)
-            hits = hits.join(stats, "field").join(df, ["field", "term"])
+            hits = hits.join(index.weights(accepts, hits), ["field", "term"])
             avg = F.col("sum_ttf") / F.col("doc_count")
             add = []
             for x in c.terms:

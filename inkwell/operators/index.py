@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -64,6 +64,10 @@ def infer_fields(df: DataFrame, analyzer: str = "standard") -> tuple[FieldSpec,
     return (*out, FieldSpec("_all", COMPOSITE, exclude=("_id",)))
 
 
+def _distinct_terms(tokens: Column, accept: Callable[[Column], Column]) -> Column:
+    return F.array_distinct(F.transform(F.filter(tokens, lambda t: accept(t["term"])), lambda t: t["term"]))
+
+
 @dataclass(frozen=True)
 class Index:
     """docs has doc_num, id, the columns, and token columns where they are stored."""
@@ -206,6 +210,36 @@ class Index:
         )
         return one.select(F.inline(rows))
 
+    def weights(self, accepts: dict[str, Callable[[Column], Column]], hits: DataFrame) -> DataFrame:
+        """field, term, df, doc_count, sum_ttf of the accepted terms: all that scores need.
+
+        Without stored postings one pass gives both: every document adds its length under the
+        null term, and itself under each of its accepted terms; tasks send a row a term.
+        """
+        if self.postings is not None:
+            return self.frequencies(hits).join(self.field_stats(list(accepts)).drop("total_docs"), "field")
+        parts = []
+        for name, accept in accepts.items():
+            base = self.docs.select(self.tokens(name).alias("t"))
+            mine = _distinct_terms(F.col("t"), accept)
+            rows = base.select(F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), mine)).alias("term"))
+            parts.append(
+                rows.groupBy("term")
+                .agg(F.count_if(F.col("dl") > 0).alias("df"), F.sum("dl").cast("long").alias("dls"))
+                .select(F.lit(name).alias("field"), "term", "df", "dls")
+            )
+        w = Window.partitionBy("field")
+        whole = F.col("term").isNull()
+        return (
+            reduce(DataFrame.unionAll, parts)
+            .select(
+                "field", "term", "df",
+                F.max(F.when(whole, F.col("df"))).over(w).alias("doc_count"),
+                F.max(F.when(whole, F.col("dls"))).over(w).alias("sum_ttf"),
+            )
+            .where(~whole)
+        )
+
     def frequencies(self, hits: DataFrame) -> DataFrame:
         return hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
