@@ -19,7 +19,7 @@ from ..operators.collect import Search, search
 from ..operators.compile import matches, multi_search
 from ..operators.highlight import highlight
 from ..operators.index import COMPOSITE, DATE, GEO, KEYWORD, NUMERIC, TEXT, FieldSpec, Index, Similarity
-from ..session import ship, table
+from ..session import ship, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,7 @@ def documents(spark: SparkSession, d: str, analyzer: str = "simple", **kw) -> In
         FieldSpec("text", TEXT, analyzer), FieldSpec("lang", KEYWORD), FieldSpec("source", KEYWORD),
         FieldSpec("n_chars", NUMERIC), FieldSpec("_all", COMPOSITE, include=("text", "source")),
     )
-    return Index.of(table(ship(spark), d, "documents"), "doc_id", fields, **kw)
+    return Index.of(spread(table(ship(spark), d, "documents")), "doc_id", fields, **kw)
 
 
 def events(spark: SparkSession, d: str) -> Index:
@@ -576,7 +576,7 @@ SELECT doc_id, x[1:k] AS term FROM (SELECT doc_id, unnest({TOKENS}) AS x FROM do
 
     @register(f"analyze_{name}", sql)
     def run(spark, d):
-        docs = table(ship(spark), d, "documents")
+        docs = spread(table(ship(spark), d, "documents"))
         return term_counts(docs, make(native.simple_terms(F.col("text"))))
 
 
