@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, table
+from ..session import ship, spread, table
 from . import (
     fertility,
     jaccard_join,
@@ -21,7 +21,7 @@ from . import (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(ship(spark), sf_dir, "documents")
+    return spread(table(ship(spark), sf_dir, "documents"))
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
