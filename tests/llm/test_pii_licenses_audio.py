@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import re
 import struct
+import textwrap
 
 import numpy as np
 import pytest
@@ -151,6 +152,21 @@ def test_long_lines_are_scanned_whole(spark):
     assert got[0].license == "ISC" and got[0].missing == got[0].added == [] and got[1].license is None
 
 
+def test_wrapped_grants_are_confirmed(spark):
+    """As licence files have them: 76 columns, blank lines between clauses, and comment marks."""
+    made = {n: t for n, _, t in licenses.default_templates()}
+    clauses = {"MIT/grant": "The above", "BSD/grant": "Redistributions", "ISC/grant": None, "GPL-2.0/header": None, "GPL-3.0/header": None}
+    texts = []
+    for name, at in clauses.items():
+        parts = re.split(f" (?={at})", made[name]) if at else [made[name]]
+        wrapped = "\n\n".join(textwrap.fill(p, 76) for p in parts)
+        texts += [f"A tool\n\n{wrapped}\n\nmore prose", "\n".join(f" * {x}" for x in wrapped.split("\n"))]
+    got = scan(spark, *texts)
+    assert [got[i].license for i in range(10)] == [x for x in ("MIT", "BSD", "ISC", "GPL-2.0", "GPL-3.0") for _ in "ab"]
+    assert all(r.missing == r.added == [] for r in got.values())
+    assert got[0].first_line == 2 and got[0].block == texts[0][8:-12]
+
+
 def test_word_differences():
     missing, added = licenses.differences("a b c d".split(), "x a b q d y".split())
     assert (missing, added) == (["c"], ["q"])
