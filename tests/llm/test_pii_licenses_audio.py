@@ -167,6 +167,30 @@ def test_wrapped_grants_are_confirmed(spark):
     assert got[0].first_line == 2 and got[0].block == texts[0][8:-12]
 
 
+def test_short_statements_in_long_lines(spark):
+    rng = random.Random(8)
+    vocab = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    short = [(lic, text) for n, lic, text in licenses.default_templates() if n.endswith(("/released", "/licensed"))]
+    prose = lambda: " ".join(rng.choices(vocab, k=4000))
+    got = scan(spark, *(f"{prose()} {text} {prose()}" for _, text in short))
+    assert [got[i].license for i in range(len(short))] == [lic for lic, _ in short]
+
+
+def test_near_finds_every_copy():
+    rng = random.Random(3)
+    template = [f"w{rng.randrange(30)}" for _ in range(50)]
+    words, want = [], []
+    for _ in range(40):
+        words += [rng.choice(template[:9] + ["x"]) for _ in range(rng.randrange(60))]
+        copy = list(template)
+        for _ in range(rng.randrange(3)):
+            copy[rng.randrange(1, 49)] = "y"
+        want.append((len(words), len(words) + 50))
+        words += copy
+    got = [(a, b) for a, b, _, _ in licenses.near(template, words, 5, 5)]
+    assert len(got) == 40 and all(a <= e and s <= b for (s, e), (a, b) in zip(want, got))
+
+
 def test_word_differences():
     missing, added = licenses.differences("a b c d".split(), "x a b q d y".split())
     assert (missing, added) == (["c"], ["q"])
