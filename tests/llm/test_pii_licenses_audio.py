@@ -176,6 +176,22 @@ def test_short_statements_in_long_lines(spark):
     assert [got[i].license for i in range(len(short))] == [lic for lic, _ in short]
 
 
+def test_each_statement_of_a_document_is_returned(spark):
+    texts = {
+        "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.": ["Apache-2.0", "MIT"],
+        "Released under the MIT License. Words, and licensed under CC BY 4.0. " * 2: ["MIT", "CC-BY-4.0"] * 2,
+        "// SPDX-License-Identifier: MIT": ["MIT"],
+        "SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) OR Apache-2.0": ["GPL-2.0", "Apache-2.0"],
+        "under a Creative Commons Attribution 4.0 International License": ["CC-BY-4.0"],
+        "Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported": ["CC-BY-NC-ND-3.0"],
+        "Photo: CC BY-SA 3.0": ["CC-BY-SA-3.0"],
+        "Under the MIT licence of old.\nReleased under the MIT License.": [None, "MIT"],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.scan_licenses(df).collect()
+    assert [[r.license for r in rows if r.doc_id == i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_near_finds_every_copy():
     rng = random.Random(3)
     template = [f"w{rng.randrange(30)}" for _ in range(50)]
