@@ -4,10 +4,11 @@ A public vocabulary that wasn't fitted to a text spends tokens on it in a way th
 from junk: characters per token, the share of byte-fallback tokens, and the entropy of the
 token distribution. Bands are Tukey fences over all documents of one language (of one script,
 where the language is null) and one power of two of length, because entropy grows with length.
-A group of fewer than `least` documents takes the fences of all documents of its length; where
-these are too few as well, those of its language, if it is no shorter than the
-language's median (a shorter text varies more; a longer one has more entropy, not less). A
-language with fewer than `least` documents rejects nothing. Line breaks and tabs, which the vocabulary spells
+A group of fewer than `least` documents takes the fences of its own language over neighbouring
+lengths (one power of two either side); where these are too few as well, those of its language at
+all lengths, if it is no shorter than the language's median (a shorter text varies more; a longer
+one has more entropy, not less). Other languages never count: one with fewer than `least`
+documents rejects nothing, however large the corpus. Line breaks and tabs, which the vocabulary spells
 as bytes, don't count as fallback.
 
 The texts are read and tokenised once; the measures (a few numbers a document) are stored in
@@ -151,11 +152,12 @@ def fertility_rules(
         "size_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")
     )
     fine = fences(m, ["band", "size_class"], "f", k, least, floors)
-    wide = fences(m, ["size_class"], "w", k, least, floors)
+    around = F.explode(F.array(*(F.col("size_class") + i for i in (-1, 0, 1))))
+    wide = fences(m.withColumn("size_class", around), ["band", "size_class"], "w", k, least, floors)
     lang = fences(m, ["band"], "l", k, least, floors)
     # AQE turns these into broadcasts if the band tables measure small, else they are shuffled.
     j = m.join(fine, (m.band == fine.f_band) & (m.size_class == fine.f_size_class), "left")
-    j = j.join(wide, j.size_class == wide.w_size_class, "left").join(lang, j.band == lang.l_band, "left")
+    j = j.join(wide, (j.band == wide.w_band) & (j.size_class == wide.w_size_class), "left").join(lang, j.band == lang.l_band, "left")
     reasons = [F.when(F.coalesce("n_tokens", F.lit(0)) == 0, F.lit("empty"))]
     for x in MEASURES:
         own = [F.when(F.col("n_tokens") >= F.col("l_median"), F.col(f"l_{x}_{e}")) for e in ("lo", "hi")]

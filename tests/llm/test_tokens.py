@@ -209,5 +209,19 @@ def test_fertility_bands_tell_junk(spark):
     assert not any(i >= 1000 for i in kept) and len(kept) >= 297
 
 
+def test_rare_languages_are_not_judged_by_others(spark):
+    rng = random.Random(6)
+    vocab = "the of and house water tree road people very small great letter number morning evening under".split()
+    prose = [(i, " ".join(rng.choice(vocab) for _ in range(150)), "en") for i in range(300)]
+    letters = {"zh": "的一是不了人在有我他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可", "th": "กขคงจชซญดตถทนบปผพฟมยรลวสหอฮะาิีุูเแโไ"}
+    rare = [(1000 + i, "".join(rng.choices(x, k=160)), y) for y, x in letters.items() for i in range(5)]
+    null = [(2000 + i, t, None) for i, (_, t, _) in enumerate(rare)]
+    long = [(3000 + i, "".join(rng.choice("☃ẞⱷ☂ꙮ") for _ in range(110)), "en") for i in range(5)]
+    df = spark.createDataFrame(prose + rare + null + long, "doc_id long, text string, lang string")
+    rows = fertility.fertility_rules(df).collect()
+    assert all(r.keep for r in rows if 1000 <= r.doc_id < 3000)
+    assert not any(r.keep for r in rows if r.doc_id >= 3000)
+
+
 def test_scripts():
     assert fertility.script("Привет, мир") == "script:Cyrillic" and fertility.script("123 !") == "script:none"
