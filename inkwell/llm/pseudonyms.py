@@ -1,7 +1,8 @@
 """Personal data to format-preserving Feistel pseudonyms.
 
 Numbers are taken only if they validate: payment cards (Luhn), IBANs (mod 97), IPv4 addresses
-(octets), telephone and social-security numbers (their numbering plans), dates (the calendar).
+(octets), telephone and social-security numbers (their numbering plans; the usual French, German and
+Spanish groupings too), dates (the calendar; months as names, and years of two digits as 1930 to 2029).
 E-mail local parts and long hexadecimal secrets keep their character classes. Each value is
 an integer of its format's domain; a keyed Feistel network permutes that domain, walking its
 cycle until the result is valid again, and check digits are recomputed. So a pseudonym looks
@@ -33,18 +34,52 @@ ROUNDS = 8
 SUSPECT = (
     r"@|\d[\d .()/\-]{5,}\d|\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}|[0-9a-fA-F]{32}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}"
 )
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z]))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
-    r"|(?P<date>(?<![\d/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\d]|[-/.]\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\d)"
-    r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d))"
-    r"|(?P<card>(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d))"
+MONTHS = (
+    "January February March April May June July August September October November December".split(),
+    "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
 )
-KINDS = tuple(k for k in PATTERN.groupindex if k not in ("s1", "s2"))
+# Of a name in several lists the first counts.
+LIST_OF = {m.lower(): names for names in reversed(MONTHS) for m in names}
+_NAMES = "|".join(sorted(LIST_OF, key=lambda m: (-len(m), m)))
+_DAY = r"\d{1,2}(?:\.|st|nd|rd|th|er|º)?"
+SUSPECT += rf"| (?:19|20)\d\d(?<=(?iu:{_NAMES})\.?(?: del?| \d{{1,2}}(?:st|nd|rd|th)?)?,? \d{{4}})"
+PARTS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
+    "secret": r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z])",
+    "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)",
+    "date": r"(?<![\d/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}"
+    # Years of two digits: with dots and dashes only if day and month have two as well.
+    r"|\d{1,2}/\d{1,2}/\d\d|\d\d(?P<s3>[-.])\d\d(?P=s3)\d\d)(?![\d]|[-/.]\d)"
+    rf"|(?<![\w/.-])(?i:{_DAY}(?: de| of)? (?:{_NAMES})\.?(?: del?)?,? (?:19|20)\d\d"
+    rf"|(?:{_NAMES})\.? \d{{1,2}}(?:st|nd|rd|th)?,? (?:19|20)\d\d)(?![\w])",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\w+])\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,5}(?!\d)"
+    # National: a trunk 0 and pairs (French), an area code and the rest (German), nine digits (Spanish).
+    r"|(?<![\w+])(?<!\d[ .-])(?:0[1-9](?:[ .-]?\d\d){4}|(?:0[1-9]\d{1,3}|\(0[1-9]\d{1,3}\))(?: ?[/-] ?| )\d{2,8}(?:[ -]\d{2,8}){0,3}"
+    r"|[6-9]\d\d(?P<s4>[ -])\d{3}(?P=s4)\d{3}|[6-9]\d\d(?P<s5>[ -])\d\d(?P=s5)\d\d(?P=s5)\d\d"
+    r"|9\d(?P<s6>[ -])\d{3}(?P=s6)\d\d(?P=s6)\d\d)(?![ .-]?\d)",
+    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)",
+}
+PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PARTS.items()))
+ALONE = {k: re.compile(p) for k, p in PARTS.items()}
+KINDS = tuple(PARTS)
+NATIONAL = re.compile(PARTS["phone"][PARTS["phone"].rindex(r"(?<!\d[ .-])") :])
+# The characters of an IBAN by country.
+IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 
 
@@ -145,6 +180,8 @@ class Pseudonyms:
 
     def iban(self, s: str, back: bool) -> str | None:
         bare = s.replace(" ", "")
+        if len(bare) != IBAN_LENGTHS.get(bare[:2], len(bare)):
+            return None
         if not 15 <= len(bare) <= 34 or mod97(bare) != 1:
             return None
         body = self.by_class(bare[4:], b"iban|" + bare[:2].encode(), back)
@@ -168,16 +205,49 @@ class Pseudonyms:
             out.append(str(a + d))
         return ".".join(reversed(out))
 
+    def written(self, s: str, back: bool) -> str | None:
+        """A date with the month's name: the result has one as long, of the same language."""
+        name = re.search(rf"(?i)(?<![^\W\d_])(?:{_NAMES})(?![^\W\d_])", s)[0]
+        names = LIST_OF[name.lower()]
+        by_month = [m.lower() for m in names]
+        first, year = (re.search(x, s) for x in (r"\d{1,2}(?!\d)", r"\d{4}"))
+        suffix = re.match(r"(?i)st|nd|rd|th|er|$", s[first.end() :])
+        suffix = suffix[0].lower() if suffix else ""
+        try:
+            day = date(int(year[0]), by_month.index(name.lower()) + 1, int(first[0])).toordinal()
+        except ValueError:
+            return None
+
+        def ok(d: int) -> bool:
+            v = date.fromordinal(FIRST_DAY + d)
+            m, n = by_month[v.month - 1], v.day
+            english = "th" if n in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th")
+            right = not suffix or suffix == ("er" if n == 1 else english) or (suffix == "er" and n == 1)
+            wide = n > 9 or first[0][0] == "0" if len(first[0]) == 2 else n < 10
+            return len(m) == len(name) and LIST_OF[m] is names and right and wide
+
+        if not ok(day - FIRST_DAY):
+            return None
+        v = date.fromordinal(FIRST_DAY + self.feistel.valid(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date", ok, back))
+        month = by_month[v.month - 1]
+        month = month.upper() if name.isupper() else month.capitalize() if name[0].isupper() else month
+        out = s.replace(name, month, 1).replace(year[0], str(v.year), 1)
+        return out[: first.start()] + str(v.day).zfill(len(first[0])) + out[first.end() :]
+
     def date(self, s: str, back: bool) -> str | None:
+        if re.search(r"[^\W\d_]", s):
+            return self.written(s, back)
         sep = re.search(r"\D", s)[0]
         parts = s.split(sep)
+        short = len(parts[0]) < 4 and len(parts[2]) == 2  # a year of two digits is one of 1930 to 2029
+        full = lambda y: 1900 + y if y >= 30 else 2000 + y
         if len(parts[0]) == 4:
             orders = ((0, 1, 2),)
         else:
             orders = ((2, 1, 0), (2, 0, 1)) if sep != "/" else ((2, 0, 1), (2, 1, 0))
         for order in orders:
             try:
-                day = date(*(int(parts[i]) for i in order)).toordinal()
+                day = date(*(full(int(parts[i])) if short and i == 2 else int(parts[i]) for i in order)).toordinal()
             except ValueError:
                 continue
             if not FIRST_DAY <= day <= LAST_DAY:
@@ -193,12 +263,14 @@ class Pseudonyms:
             def ok(d: int) -> bool:
                 # The result keeps the widths and reads back in the same order.
                 v = fields(d)
+                if short and not 1930 <= v[2] < 2030:
+                    return False
                 if any(narrow) and [x < 10 for x in v] != narrow:
                     return False
                 return order == orders[0] or v[order[2]] > 12
 
             y = self.feistel.valid(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date", ok, back)
-            return sep.join(str(v).zfill(len(p)) for v, p in zip(fields(y), parts))
+            return sep.join(str(v)[-2 if short and i == 2 else 0 :].zfill(len(p)) for i, (v, p) in enumerate(zip(fields(y), parts)))
         return None
 
     def ssn(self, s: str, back: bool) -> str | None:
@@ -218,16 +290,26 @@ class Pseudonyms:
             # The country code stays; without a separator the first digit stands for it.
             lead = re.match(r"\+(\d{1,3})(?=\D)", s)
             code = lead[1] if lead else digits[0]
+        elif NATIONAL.fullmatch(s):
+            # The trunk 0, or the first digit of nine, stays: it tells the layout.
+            code = digits[0]
+            if code == "0" and not 9 <= len(digits) <= 12:
+                return None
+        trunk = code == "0"
         rest = digits[len(code) :]
         if not 7 <= len(rest) <= 14 or len(digits) > 15:
             return None
         n = len(rest)
 
         def ok(x: int) -> bool:  # North American numbers: area and exchange begin with 2 to 9
+            if trunk:
+                return x >= 10 ** (n - 1)
             return n != 10 or not plan or (x // 10**9 > 1 and x // 10**6 % 10 > 1)
 
-        plan = n == 10 and rest[0] > "1" and rest[3] > "1"
+        plan = not trunk and n == 10 and rest[0] > "1" and rest[3] > "1"
         tweak = b"phone|%d|%d" % (n, plan)
+        if trunk and rest[0] == "0":
+            return None
         return spread(code + f"{self.feistel.valid(int(rest), 10**n, tweak, ok, back):0{n}d}", s, str.isdigit)
 
     def card(self, s: str, back: bool) -> str | None:
@@ -243,15 +325,31 @@ class Pseudonyms:
         """The text with every value replaced, and the kinds of the values in their order."""
         kinds: list[str] = []
 
-        def one(m: re.Match) -> str:
-            kind = next(k for k in KINDS if m[k] is not None)
-            new = getattr(self, kind)(m[0], back)
-            if new is None:
-                return m[0]
-            kinds.append(kind)
-            return new
+        def one(kind: str, found: str) -> tuple[str, str] | None:
+            """What a match, or of an IBAN the part that validates, was and becomes."""
+            ends = [len(found)]
+            if kind == "iban":
+                ends += [m.end() for m in re.finditer(r"[A-Z0-9](?![A-Z0-9])", found)][-2::-1]
+            for end in ends:
+                if (new := getattr(self, kind)(found[:end], back)) is not None:
+                    return found[:end], new
+            return None
 
-        return PATTERN.sub(one, text), kinds
+        out, at = [], 0
+        while m := PATTERN.search(text, at):
+            kind, end, done = next(k for k in KINDS if m[k] is not None), m.end(), None
+            for other in KINDS[KINDS.index(kind) :]:  # what isn't valid as one kind may be as another
+                if (hit := m if other == kind else ALONE[other].match(text, m.start())) and (done := one(other, hit[0])):
+                    break
+            out.append(text[at : m.start()])
+            if done:
+                kinds.append(other)
+                out.append(done[1])
+                at = m.start() + len(done[0])
+            else:
+                out.append(text[m.start() : end])
+                at = end
+        return "".join(out) + text[at:], kinds
 
 
 def spread(chars: str, like: str, mine) -> str:

@@ -66,6 +66,33 @@ def test_values_are_replaced_in_their_format(kind, value):
         assert all(int(x) < 256 for x in got.split("."))
 
 
+MORE = {
+    "phone": ["+33 6 12 34 56 78", "06 12 34 56 78", "01.23.45.67.89", "030 1234567", "030/1234567", "(030) 1234567", "0171 234 56 78", "612 345 678", "612 34 56 78", "91 123 45 67"],
+    "date": ["12 March 1998", "March 12, 1998", "3rd May 2001", "12. März 1998", "1er mars 1998", "12 de marzo de 1998", "14 juillet 1989", "03/05/98", "13.05.98", "31 DECEMBER 1999"],
+}
+
+
+@pytest.mark.parametrize("kind,value", [(k, v) for k, vs in MORE.items() for v in vs])
+def test_national_phones_and_written_dates(kind, value):
+    text = f"before {value} after"
+    new, kinds = P.replace(text)
+    assert kinds == [kind] and value not in new and len(new) == len(text)
+    assert P.replace(new, back=True) == (text, [kind])
+
+
+def test_more_suspects_reach_python(spark):
+    rows = [(v,) for vs in MORE.values() for v in vs]
+    assert spark.createDataFrame(rows, "t string").where(~F.col("t").rlike(pseudonyms.SUSPECT)).collect() == []
+
+
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "PL61 1090 1014 0000 0712 1981 2874"])
+@pytest.mark.parametrize("next", ["BIC CAIXESBB", "EUR", "A 1", "GB82 WEST 1234 5698 7654 32"])
+def test_words_after_ibans(iban, next):
+    new, kinds = P.replace(f"{iban} {next}")
+    assert kinds[0] == "iban" and iban not in new and mod97(new[: len(iban)].replace(" ", "")) == 1
+    assert P.replace(new, back=True)[0] == f"{iban} {next}" and len(kinds) == 1 + next.startswith("GB")
+
+
 def test_cards_link_across_separators():
     a, b = P.replace("4111 1111 1111 1111")[0], P.replace("4111111111111111")[0]
     assert a.replace(" ", "") == b
