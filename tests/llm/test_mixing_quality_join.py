@@ -3,8 +3,10 @@
 import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +234,48 @@ def test_join_is_exact_on_a_fixture(spark, copies, tile, most):
     assert J.jaccard_join(df, tile=tile, tile_grams=most).count() == len(got)  # no pair twice
 
 
+def unicode_words(text):
+    """By characters: letters, marks and digits run on, those of unspaced scripts stand alone."""
+    out, going = [], False
+    for c in re.sub("[A-Z]", lambda m: m[0].lower(), text):
+        alone = re.match("[\u0e00-\u0eff\u3005-\u3007\u3040-\u30ff\u4e00-\u9fff\U00020000-\U0002a6df]", c)
+        if unicodedata.category(c)[0] not in "LMN":
+            going = False
+        elif alone or not going:
+            out.append(c)
+            going = not alone
+        else:
+            out[-1] += c
+    return out
+
+
+def test_words_are_unicode_words():
+    rng = random.Random(12)
+    letters = "abZ 9é\u0301ßЖ漢字。、ひカーไทยกี่ \u00a0—“”’\u2009한국𠀀🎉,.\u3000"
+    texts = ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(400)]
+    hashes, count = J.word_hashes(*J.utf8(pa.array(texts))[:2])
+    words = [unicode_words(t) for t in texts]
+    assert count.tolist() == [len(w) for w in words]
+    flat = [w for ws in words for w in ws]
+    assert len(set(flat)) == len(set(hashes.tolist())) == len(set(zip(flat, hashes.tolist())))
+
+
+def test_near_copies_without_spaces_are_joined(spark):
+    rng = random.Random(13)
+    rows = []
+    for k, script in enumerate((range(0x4E00, 0x5200), range(0x3041, 0x3090), range(0x0E01, 0x0E2E))):
+        a = "".join(chr(rng.choice(script)) for _ in range(133))
+        rows += [(2 * k, a[:60] + "。" + a[60:]), (2 * k + 1, a[:30] + "们" + a[31:60] + "，" + a[60:100] + "们" + a[101:])]
+    a = [f"w{rng.randrange(99)}" for _ in range(60)]
+    rows += [(6, " ".join(a)), (7, "\u00a0— ".join(a))]
+    got = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    grams = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (unicode_words(t) for _, t in rows)]
+    assert {(r.doc_a, r.doc_b) for r in got} == {(0, 1), (2, 3), (4, 5), (6, 7)}
+    for r in got:
+        x, y = grams[r.doc_a], grams[r.doc_b]
+        assert r.jaccard == pytest.approx(len(x & y) / len(x | y))
+
+
 def components(pairs):
     root: dict = {}
 
