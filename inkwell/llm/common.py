@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -36,6 +37,40 @@ def col(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, .. by place, so that no two names differ in case only and
+    names of an operator's own can't clash. toDF(*df.columns) gives the names back."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """The numbered name of a column: the first of exactly this name, else the only one in any case."""
+    names = df.columns
+    if name in names:
+        return f"c{names.index(name)}"
+    found = [i for i, n in enumerate(names) if n.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {name!r}; there are {names}")
+    return f"c{found[0]}"
+
+
+def take(df: DataFrame, **columns: str) -> DataFrame:
+    """Only these columns (new name = name in df), whatever else df has."""
+    return numbered(df).select(*(F.col(place(df, c)).alias(new) for new, c in columns.items()))
+
+
+def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (long) and text (string) of every row."""
+    return take(df, doc_id=id_col, text=text_col).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
+
+
+def without(names: list[str], gone: tuple[str, ...]) -> list[int]:
+    """Places of the names that aren't among `gone`, whatever their case."""
+    return [i for i, n in enumerate(names) if n.lower() not in gone]
+
+
 def ranks_of(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

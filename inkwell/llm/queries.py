@@ -67,7 +67,8 @@ def op9_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(documents(spark, sf_dir))
+    """One row a document: its class and number of links."""
+    return jaccard_join.jaccard_classes(documents(spark, sf_dir))
 
 
 QUERIES = {

@@ -224,14 +224,89 @@ def copies():
     return rows + [(1000, "One, two!"), (1001, "one two"), (1002, ""), (1003, None), (None, "one two"), (1004, "...")]
 
 
+def classes_of(rows, t):
+    """Brute force over (id, distinct text): class and number of links of every id."""
+    nodes = sorted({(i, frozenset(gram_set(x))) for i, x in rows if i is not None and x and gram_set(x)}, key=lambda n: n[0])
+    near = [
+        (a, b) for a, b in itertools.combinations(nodes, 2) if len(a[1] & b[1]) / len(a[1] | b[1]) >= t
+    ]
+    links = dict.fromkeys((i for i, _ in rows if i is not None), 0)
+    for a, b in near:
+        links[a[0]] += 1
+        links[b[0]] += 1
+    roots = components([(a[0], b[0]) for a, b in near])
+    return {i: (roots.get(i, i), n) for i, n in links.items()}
+
+
 @pytest.mark.parametrize("tile,most", [(5, 2_000_000), (1024, 2_000_000), (1024, 150)])
-def test_join_is_exact_on_a_fixture(spark, copies, tile, most):
+def test_classes_are_exact_on_a_fixture(spark, copies, tile, most):
+    df = spark.createDataFrame(copies, "doc_id long, text string")
+    # Of so many bands and rows of one hash each, no pair above the threshold is without a key.
+    got = J.jaccard_classes(df, tile=tile, tile_grams=most, bands=60, rows=1).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == classes_of(copies, 0.5) and len(got) == len({i for i, _ in copies} - {None})
+
+
+def test_pairs_and_membership_give_all_links(spark, copies):
     df = spark.createDataFrame(copies, "doc_id long, text string")
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in J.jaccard_join(df, tile=tile, tile_grams=most).collect()}
-    want = brute(copies, 0.5)
-    assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
-    assert all(got[k] == pytest.approx(want[k]) for k in got)
-    assert J.jaccard_join(df, tile=tile, tile_grams=most).count() == len(got)  # no pair twice
+    rows = J.jaccard_join(df, tile=7, bands=60, rows=1).collect()
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in rows}
+    assert len(got) == len(rows)
+    sets = {i: frozenset(gram_set(x)) for i, x in copies if i is not None and x and gram_set(x)}
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(sets[i], i)
+    full = brute(copies, 0.5)
+    assert got == pytest.approx({k: v for k, v in full.items() if all(least[sets[x]] == x for x in k) or (v == 1 and least[sets[k[1]]] == k[0])})
+
+
+def test_tiles_cover_every_pair_once(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice((1, 1, 1, 2)), i, i, i, rng.randint(1, 400)) for i in range(600)]
+    df = spark.createDataFrame(rows, "g long, doc_id long, w1 long, w2 long, size int")
+    tiles = {}
+    for r in J.in_tiles(df, "g", 0.5, 50, 4000).collect():
+        for t in r.tiles:
+            tiles.setdefault((r.g, t.i, t.j), []).append((t.side, r.doc_id, r["size"]))
+    met = []
+    for (g, i, j), members in tiles.items():
+        assert len(members) < 200
+        left, right = ([m for m in members if m[0] % 2 == s % 2 and m[0] >= s] for s in (1, 2))
+        assert {m[0] for m in members} <= ({0} if i == j else {1, 2})
+        met += [tuple(sorted((a[1], b[1]))) for a, b in (itertools.combinations(members, 2) if i == j else itertools.product(left, right))]
+    assert len(met) == len(set(met))
+    want = {(a[1], b[1]) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and min(a[4], b[4]) >= max(a[4], b[4]) / 2}
+    assert want <= set(met)
+
+
+@pytest.mark.parametrize("most", [1, 50, 10**6])
+def test_tile_stage_is_exact(most):
+    rng = np.random.default_rng(3)
+    base = [rng.choice(np.arange(2000, dtype=np.uint64), 60, replace=False) for _ in range(6)]
+    sets = [np.unique(np.append(rng.choice(base[k % 6], rng.integers(5, 60), replace=False), rng.integers(5000, 10**9, rng.integers(0, 40)).astype(np.uint64))) for k in range(150)]
+    count, flat = np.array([len(x) for x in sets]), np.concatenate(sets)
+    maps, words = J.bitmaps_of(flat, count)
+    starts, side = np.array([0, 70, 150]), np.array([0] * 70 + [1] * 30 + [2] * 50)
+    got = {}
+    for i, j in J.tile_pairs(starts, side, most):
+        i, j, both, jac = J.exact(*J.possible(i, j, count, maps, words, 0.5), flat, count, 0.5, most)
+        got |= {(a, b): (n, x) for a, b, n, x in zip(i.tolist(), j.tolist(), both.tolist(), jac.tolist())}
+    want = {}
+    for a, b in [*itertools.combinations(range(70), 2), *itertools.product(range(70, 100), range(100, 150))]:
+        n = len(set(sets[a].tolist()) & set(sets[b].tolist()))
+        if 2 * n >= count[a] + count[b] - n:
+            want[a, b] = (n, n / (count[a] + count[b] - n))
+    assert got == want
+
+
+def test_shared_footers_link_nothing(spark):
+    rng = random.Random(1)
+    vocab = [f"w{i}" for i in range(5000)]
+    foot = "this page was made by the friendly staff of our small town library in spring"
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randint(30, 80))) + " " + foot) for i in range(2000)]
+    rows += [(5000 + i, rows[i][1] + " more") for i in range(5)]
+    join = J.Join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, 0.5, 36, 3, 1024, 2_000_000)
+    blocks = [r["count"] for r in join.tiles.groupBy("block").count().collect()]
+    assert max(blocks) <= 3 and 5 <= len(blocks) <= 40  # the bound lets a few chance pairs through
 
 
 def unicode_words(text):
@@ -290,25 +365,28 @@ def components(pairs):
     return {x: find(x) for x in list(root)}
 
 
-def test_links_give_the_groups_of_all_pairs(spark, copies):
+def test_near_copies_are_dropped(spark, copies):
     df = spark.createDataFrame(copies, "doc_id long, text string")
-    groups = [components([(r.doc_a, r.doc_b) for r in J.jaccard_join(df, expand=e).collect()]) for e in (True, False)]
-    assert groups[0] == groups[1]
-    kept = J.drop_near_duplicates(df)
-    gone = {x for x, r in groups[0].items() if x != r}
+    gone = {i for i, (c, _) in classes_of(copies, 0.5).items() if c != i}
+    kept = J.drop_near_duplicates(df, bands=60, rows=1)
     assert kept.columns == df.columns
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(ids, key=str) == sorted((i for i, _ in copies if i not in gone), key=str)
 
 
-def test_bitmaps_bound_overlap():
+@pytest.mark.parametrize("most", [300, 40])
+def test_bitmaps_bound_overlap(most):
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 500, rng.integers(1, 300)).astype(np.uint64)) for _ in range(30)]
+    sets = [np.unique(rng.integers(0, 500, rng.integers(1, most)).astype(np.uint64)) for _ in range(40)]
     count = np.array([len(s) for s in sets])
-    maps = J.bitmaps_of(J.mix64(np.concatenate(sets)), count, 256)
-    diff = J.popcounts(maps, maps)
-    for i, j in itertools.product(range(30), repeat=2):
-        assert len(np.intersect1d(sets[i], sets[j])) <= (count[i] + count[j] - diff[i, j]) // 2
+    maps, words = J.bitmaps_of(np.concatenate(sets), count)
+    assert len(maps) == words.sum() and (words * 64 >= 2 * count).all()
+    i, j = np.triu_indices(40, 1)
+    for t in (0.1, 0.3, 0.6):
+        kept = set(zip(*(x.tolist() for x in J.possible(i, j, count, maps, words, t))))
+        for a, b in zip(i.tolist(), j.tolist()):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            assert both / (count[a] + count[b] - both) < t or (a, b) in kept
 
 
 def test_components(spark):
@@ -321,10 +399,17 @@ def test_components(spark):
     assert J.components(df.limit(0)).count() == 0
 
 
-def test_join_edges(odd, none, nameless):
+def test_join_edges(spark, odd, none, nameless):
     got = {(r.doc_a, r.doc_b): r.jaccard for r in J.jaccard_join(odd).collect()}
     assert got == {(1, 2): 1.0}
-    assert J.jaccard_join(none).count() == 0 and J.jaccard_join(nameless).count() == 0
+    rows = {r.doc_id: (r.class_id, r.n_links) for r in J.jaccard_classes(odd).collect()}
+    assert rows == {i: (1, 1) if i < 3 else (i, 0) for i in range(1, 9)}
+    for f in (J.jaccard_join, J.jaccard_classes):
+        assert f(none).count() == 0 and f(nameless).count() == 0
+    several = [(1, "a b c d e"), (1, "v w x y z"), (2, "a b c d e f"), (3, "v w x y z"), (3, "v w x y z"), (4, "else where"), (None, "a b c d e")]
+    df = spark.createDataFrame(several, "doc_id long, text string")
+    rows = {r.doc_id: (r.class_id, r.n_links) for r in J.jaccard_classes(df, bands=60, rows=1).collect()}
+    assert rows == classes_of(several, 0.5) == {1: (1, 2), 2: (1, 1), 3: (1, 1), 4: (4, 0)}
     kept = J.drop_near_duplicates(odd)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted("1 1 3 4 None 5 6 7 8".split())
     assert J.drop_near_duplicates(none).count() == 0 and J.drop_near_duplicates(nameless).count() == 3
