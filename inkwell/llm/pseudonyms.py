@@ -5,28 +5,35 @@ Numbers are taken only if they validate: payment cards (Luhn), IBANs (mod 97), I
 Spanish groupings too), dates (the calendar; months as names, and years of two digits as 1930 to 2029).
 E-mail local parts and long hexadecimal secrets keep their character classes. Each value is
 an integer of its format's domain; a keyed Feistel network permutes that domain, walking its
-cycle until the result is valid again, and check digits are recomputed. So a pseudonym looks
-like what it replaces, has its length, and equal values get equal pseudonyms in all documents
-(a card with or without separators too), while distinct ones stay distinct.
+cycle until the result is valid again, and check digits are recomputed. A format's domain is what is
+read as this format, both ways: a date's has its widths, its order of day and month and its range of
+years (to 999, to 1899, to 2099, later), a phone's its layout and whether it fits the North American
+plan. So a pseudonym looks like what it replaces, has its length, and equal values get equal
+pseudonyms in all documents (a card with or without separators too), while distinct ones stay
+distinct and the key restores them.
+
+There is no default key: who has the key can restore. secret_key() gives a session's.
 
 Defined results: a null text stays null with n_pii 0, an empty one empty; every other column
-of the input passes through as it is, except one named n_pii or pii_kinds, which is replaced;
-rows may repeat; an empty table gives no rows. One narrow pass; only texts that a JVM pattern
-finds suspicious reach Python, and these whole.
+of the input passes through as it is, whatever its name (n_pii and pii_kinds in any case are replaced
+if the report is wanted); rows may repeat; an empty table gives no rows. The text column is the one of
+exactly the name given, else the only one in another case. One narrow pass; only texts that a JVM
+pattern finds suspicious reach Python, and these whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from datetime import date
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import numbered, place, without
 
 ROUNDS = 8
 # Whatever can hold personal data: an address sign, seven or more digits with separators, a
@@ -45,7 +52,7 @@ MONTHS = (
 LIST_OF = {m.lower(): names for names in reversed(MONTHS) for m in names}
 _NAMES = "|".join(sorted(LIST_OF, key=lambda m: (-len(m), m)))
 _DAY = r"\d{1,2}(?:\.|st|nd|rd|th|er|º)?"
-SUSPECT += rf"| (?:19|20)\d\d(?<=(?iu:{_NAMES})\.?(?: del?| \d{{1,2}}(?:st|nd|rd|th)?)?,? \d{{4}})"
+SUSPECT += rf"| [12]\d\d\d(?<=(?iu:{_NAMES})\.?(?: del?| \d{{1,2}}(?:st|nd|rd|th)?)?,? \d{{4}})"
 PARTS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
@@ -54,8 +61,8 @@ PARTS = {
     "date": r"(?<![\d/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4}"
     # Years of two digits: with dots and dashes only if day and month have two as well.
     r"|\d{1,2}/\d{1,2}/\d\d|\d\d(?P<s3>[-.])\d\d(?P=s3)\d\d)(?![\d]|[-/.]\d)"
-    rf"|(?<![\w/.-])(?i:{_DAY}(?: de| of)? (?:{_NAMES})\.?(?: del?)?,? (?:19|20)\d\d"
-    rf"|(?:{_NAMES})\.? \d{{1,2}}(?:st|nd|rd|th)?,? (?:19|20)\d\d)(?![\w])",
+    rf"|(?<![\w/.-])(?i:{_DAY}(?: de| of)? (?:{_NAMES})\.?(?: del?)?,? [12]\d\d\d"
+    rf"|(?:{_NAMES})\.? \d{{1,2}}(?:st|nd|rd|th)?,? [12]\d\d\d)(?![\w])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\d)"
     r"|(?<![\w+])\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,5}(?!\d)"
@@ -65,10 +72,12 @@ PARTS = {
     r"|9\d(?P<s6>[ -])\d{3}(?P=s6)\d\d(?P=s6)\d\d)(?![ .-]?\d)",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-]*\d)",
 }
+# Digits are those of ASCII, as on the JVM.
+PARTS = {k: p.replace(r"[\d", "[0-9").replace(r"\d", "[0-9]") for k, p in PARTS.items()}
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PARTS.items()))
 ALONE = {k: re.compile(p) for k, p in PARTS.items()}
 KINDS = tuple(PARTS)
-NATIONAL = re.compile(PARTS["phone"][PARTS["phone"].rindex(r"(?<!\d[ .-])") :])
+NATIONAL = re.compile(PARTS["phone"][PARTS["phone"].rindex(r"(?<![0-9][ .-])") :])
 # The characters of an IBAN by country.
 IBAN_LENGTHS = {
     country: n
@@ -80,7 +89,8 @@ IBAN_LENGTHS = {
     }.items()
     for country in countries.split()
 }
-FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+# Dates stay in their range of years.
+ERAS = [(date(a, 1, 1).toordinal(), date(z, 12, 31).toordinal()) for a, z in ((1, 999), (1000, 1899), (1900, 2099), (2100, 9999))]
 
 
 class Feistel:
@@ -163,26 +173,32 @@ class Pseudonyms:
     def __init__(self, key: bytes):
         self.feistel = Feistel(key)
 
-    def by_class(self, text: str, tweak: bytes, back: bool, alphabets=CLASSES) -> str:
+    def by_class(self, text: str, tweak: bytes, back: bool, alphabets=CLASSES, ok=lambda s: True) -> str:
         kinds = classes(text, alphabets)
         x, n = to_int(text, kinds)
-        return from_int(self.feistel.permute(x, n, tweak, back), text, kinds)
+        return from_int(self.feistel.valid(x, n, tweak, lambda y: ok(from_int(y, text, kinds)), back), text, kinds)
 
     def email(self, s: str, back: bool) -> str | None:
         local, domain = s.rsplit("@", 1)
         # Upper and lower case link to the same pseudonym: the case of each letter stays.
-        done = self.by_class(local.lower(), b"email|" + domain.lower().encode(), back)
-        return "".join(d.upper() if c.isupper() else d for c, d in zip(local, done)) + "@" + domain
+        low = "".join(c.lower() if c.isascii() else c for c in local)
+        done = self.by_class(low, b"email|" + domain.lower().encode(), back)
+        return "".join(d.upper() if c.isascii() and c.isupper() else d for c, d in zip(local, done)) + "@" + domain
 
     def secret(self, s: str, back: bool) -> str | None:
-        digits = "0123456789abcdef" if s == s.lower() else "0123456789ABCDEF"
-        return self.by_class(s, b"secret|%d" % len(s), back, (digits,))
+        upper = s != s.lower()
+        digits = "0123456789ABCDEF" if upper else "0123456789abcdef"
+
+        def ok(x: str) -> bool:  # has a digit, and in capitals a letter, as what is read has
+            return any(c.isdigit() for c in x) and (not upper or any(c.isalpha() for c in x))
+
+        return self.by_class(s, b"secret|%d" % len(s), back, (digits,), ok)
 
     def iban(self, s: str, back: bool) -> str | None:
         bare = s.replace(" ", "")
         if len(bare) != IBAN_LENGTHS.get(bare[:2], len(bare)):
             return None
-        if not 15 <= len(bare) <= 34 or mod97(bare) != 1:
+        if not 15 <= len(bare) <= 34 or mod97(bare) != 1 or not 2 <= int(bare[2:4]) <= 98:
             return None
         body = self.by_class(bare[4:], b"iban|" + bare[:2].encode(), back)
         check = f"{98 - mod97(bare[:2] + '00' + body):02d}"
@@ -205,6 +221,13 @@ class Pseudonyms:
             out.append(str(a + d))
         return ".".join(reversed(out))
 
+    def day(self, day: int, ok, back: bool) -> int | None:
+        """The day that takes this one's place among the days of its era that are ok."""
+        first, last = next(e for e in ERAS if e[0] <= day <= e[1])
+        if not ok(date.fromordinal(day)):
+            return None
+        return first + self.feistel.valid(day - first, last - first + 1, b"date", lambda d: ok(date.fromordinal(first + d)), back)
+
     def written(self, s: str, back: bool) -> str | None:
         """A date with the month's name: the result has one as long, of the same language."""
         name = re.search(rf"(?i)(?<![^\W\d_])(?:{_NAMES})(?![^\W\d_])", s)[0]
@@ -218,20 +241,18 @@ class Pseudonyms:
         except ValueError:
             return None
 
-        def ok(d: int) -> bool:
-            v = date.fromordinal(FIRST_DAY + d)
+        def ok(v: date) -> bool:
             m, n = by_month[v.month - 1], v.day
             english = "th" if n in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(n % 10, "th")
-            right = not suffix or suffix == ("er" if n == 1 else english) or (suffix == "er" and n == 1)
-            wide = n > 9 or first[0][0] == "0" if len(first[0]) == 2 else n < 10
-            return len(m) == len(name) and LIST_OF[m] is names and right and wide
+            right = not suffix or suffix == (("er" if n == 1 else "") if suffix == "er" else english)
+            return 1000 <= v.year < 3000 and len(m) == len(name) and LIST_OF[m] is names and right and (len(first[0]) == 2 or n < 10)
 
-        if not ok(day - FIRST_DAY):
+        if (found := self.day(day, ok, back)) is None:
             return None
-        v = date.fromordinal(FIRST_DAY + self.feistel.valid(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date", ok, back))
+        v = date.fromordinal(found)
         month = by_month[v.month - 1]
         month = month.upper() if name.isupper() else month.capitalize() if name[0].isupper() else month
-        out = s.replace(name, month, 1).replace(year[0], str(v.year), 1)
+        out = s.replace(name, month, 1).replace(year[0], f"{v.year:04d}", 1)
         return out[: first.start()] + str(v.day).zfill(len(first[0])) + out[first.end() :]
 
     def date(self, s: str, back: bool) -> str | None:
@@ -250,27 +271,23 @@ class Pseudonyms:
                 day = date(*(full(int(parts[i])) if short and i == 2 else int(parts[i]) for i in order)).toordinal()
             except ValueError:
                 continue
-            if not FIRST_DAY <= day <= LAST_DAY:
-                return None
 
-            narrow = [len(p) == 1 for p in parts]  # written without leading zeros
-
-            def fields(d: int) -> list[int]:
-                v = date.fromordinal(FIRST_DAY + d)
+            def fields(v: date) -> list[int]:
                 new = dict(zip(order, (v.year, v.month, v.day)))
                 return [new[i] for i in range(3)]
 
-            def ok(d: int) -> bool:
-                # The result keeps the widths and reads back in the same order.
-                v = fields(d)
-                if short and not 1930 <= v[2] < 2030:
+            def ok(v: date) -> bool:
+                # The result keeps the widths and is read in the same order.
+                f = fields(v)
+                if short and not 1930 <= f[2] < 2030:
                     return False
-                if any(narrow) and [x < 10 for x in v] != narrow:
+                if any(len(p) == 1 and x > 9 for p, x in zip(parts, f)):
                     return False
-                return order == orders[0] or v[order[2]] > 12
+                return order == orders[0] or f[order[2]] > 12
 
-            y = self.feistel.valid(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, b"date", ok, back)
-            return sep.join(str(v)[-2 if short and i == 2 else 0 :].zfill(len(p)) for i, (v, p) in enumerate(zip(fields(y), parts)))
+            if (found := self.day(day, ok, back)) is None:
+                return None
+            return sep.join(str(v).zfill(4 if short and i == 2 else len(p))[-len(p) :] for i, (v, p) in enumerate(zip(fields(date.fromordinal(found)), parts)))
         return None
 
     def ssn(self, s: str, back: bool) -> str | None:
@@ -295,22 +312,23 @@ class Pseudonyms:
             code = digits[0]
             if code == "0" and not 9 <= len(digits) <= 12:
                 return None
-        trunk = code == "0"
+        trunk = code == "0" and s[0] != "+"
         rest = digits[len(code) :]
-        if not 7 <= len(rest) <= 14 or len(digits) > 15:
-            return None
         n = len(rest)
+        if not 7 <= n <= 14 or len(digits) > 15 or (trunk and rest[0] == "0"):
+            return None
+        national = bool(NATIONAL.fullmatch(s))
+        in_plan = lambda x: n == 10 and not trunk and x // 10**9 > 1 and x // 10**6 % 10 > 1
+        plan = in_plan(int(rest))
 
-        def ok(x: int) -> bool:  # North American numbers: area and exchange begin with 2 to 9
-            if trunk:
-                return x >= 10 ** (n - 1)
-            return n != 10 or not plan or (x // 10**9 > 1 and x // 10**6 % 10 > 1)
+        def written(x: int) -> str:
+            return spread(code + f"{x:0{n}d}", s, lambda c: "0" <= c <= "9")
 
-        plan = not trunk and n == 10 and rest[0] > "1" and rest[3] > "1"
-        tweak = b"phone|%d|%d" % (n, plan)
-        if trunk and rest[0] == "0":
-            return None
-        return spread(code + f"{self.feistel.valid(int(rest), 10**n, tweak, ok, back):0{n}d}", s, str.isdigit)
+        def ok(x: int) -> bool:
+            # Read again, it is national or not, and in the North American plan or not, as before.
+            return (not trunk or x >= 10 ** (n - 1)) and in_plan(x) == plan and bool(NATIONAL.fullmatch(written(x))) == national
+
+        return written(self.feistel.valid(int(rest), 10**n, b"phone|%d|%d" % (n, plan), ok, back))
 
     def card(self, s: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", s)
@@ -358,10 +376,23 @@ def spread(chars: str, like: str, mine) -> str:
     return "".join(next(it) if mine(c) else c for c in like)
 
 
-def pseudonymise(
-    docs: DataFrame, text_col: str = "text", key: bytes = b"inkwell demonstration key"
-) -> DataFrame:
-    """docs with pseudonyms in text_col, and n_pii and pii_kinds (in order of appearance)."""
+def secret_key(spark: SparkSession) -> bytes:
+    """The key in spark.inkwell.pseudonym.secret (Spark redacts settings of such names in its logs).
+
+    Where none is set, a random one is made for the session: its results can't be restored later.
+    """
+    name = "spark.inkwell.pseudonym.secret"
+    key = spark.conf.get(name, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(name, key)
+    return key.encode()
+
+
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text", report: bool = True) -> DataFrame:
+    """docs with pseudonyms in text_col; report: also n_pii and pii_kinds (in order of appearance)."""
+    if not key:
+        raise ValueError("an empty key protects nothing")
 
     @F.arrow_udf("struct<text:string,kinds:array<string>>")
     def replaced(text: pa.Array) -> pa.Array:
@@ -375,16 +406,15 @@ def pseudonymise(
             names=["text", "kinds"],
         )
 
-    text = col(docs, text_col).cast("string")
+    at = place(docs, text_col)
+    text = F.col(at).cast("string")
     # Only suspects are sent: the others travel as nulls.
-    new = replaced(F.when(text.rlike(SUSPECT), text))
-    kept = [c for c in docs.columns if c not in ("n_pii", "pii_kinds", "__new")]
-    out = docs.select(*(col(docs, c) for c in kept), new.alias("__new"))
-    return out.select(
-        *(
-            F.coalesce(F.col("__new.text"), col(out, c).cast("string")).alias(c) if c == text_col else col(out, c)
-            for c in kept
-        ),
-        F.coalesce(F.size("__new.kinds"), F.lit(0)).alias("n_pii"),
-        F.coalesce(F.col("__new.kinds"), F.array().cast("array<string>")).alias("pii_kinds"),
-    )
+    out = numbered(docs).select("*", replaced(F.when(text.rlike(SUSPECT), text)).alias("new"))
+    names = docs.columns
+    kept = [i for i in (without(names, ("n_pii", "pii_kinds")) if report else range(len(names)))]
+    columns = [F.coalesce("new.text", text).alias(at) if f"c{i}" == at else F.col(f"c{i}") for i in kept]
+    names = [names[i] for i in kept]
+    if report:
+        columns += [F.coalesce(F.size("new.kinds"), F.lit(0)), F.coalesce("new.kinds", F.array().cast("array<string>"))]
+        names += ["n_pii", "pii_kinds"]
+    return out.select(*columns).toDF(*names)

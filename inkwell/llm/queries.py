@@ -46,7 +46,7 @@ def op4_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(documents(spark, sf_dir))
+    return pseudonyms.pseudonymise(documents(spark, sf_dir), pseudonyms.secret_key(spark))
 
 
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,6 +110,79 @@ def test_what_does_not_validate_stays(text):
     assert P.replace(text) == (text, [])
 
 
+def random_dates(rng):
+    y, m, d = rng.choice((rng.randint(1, 9999), rng.randint(1900, 2099))), rng.randint(1, 12), rng.randint(1, 28)
+    pad = lambda x: f"{x:0{rng.choice((1, 2))}d}"
+    sep = rng.choice("-/.")
+    return rng.choice(
+        (f"{y:04d}{sep}{pad(m)}{sep}{pad(d)}", f"{pad(d)}{sep}{pad(m)}{sep}{y:04d}", f"{pad(m)}{sep}{pad(d)}{sep}{y:04d}",
+         f"{m:02d}.{d:02d}.{y % 100:02d}", f"{pad(d)} {rng.choice(pseudonyms.MONTHS[0] + pseudonyms.MONTHS[3])} {1000 + y % 2000}")
+    )
+
+
+def random_phones(rng):
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    return rng.choice((f"{d(3)}-{d(3)}-{d(4)}", f"({d(3)}) {d(3)} {d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(2)} {d(7)}", f"{d(3)} {d(3)} {d(3)}", f"+{d(11)}"))
+
+
+def random_addresses(rng):
+    return ".".join(str(rng.choice((rng.randrange(10), rng.randrange(100), rng.randrange(256)))) for _ in range(4))
+
+
+def random_secrets(rng):
+    return "".join(rng.choices(rng.choice(("0123456789abcdef", "0123456789ABCDEF", "0123456789")), k=rng.choice((32, 40))))
+
+
+@pytest.mark.parametrize("make", [random_dates, random_phones, random_addresses, random_secrets])
+def test_every_format_is_permuted(make):
+    """Distinct in, distinct out; the layout stays; the key restores."""
+    rng = random.Random(17)
+    values = {make(rng) for _ in range(3000)}
+    done = {v: P.replace(v) for v in values}
+    taken = {v: new for v, (new, kinds) in done.items() if kinds}
+    assert len(taken) > 0.3 * len(values) and sum(v != new for v, new in taken.items()) > 0.99 * len(taken)
+    assert len(set(taken.values())) == len(taken)
+    for v, new in taken.items():
+        assert len(new) == len(v) and [c if not c.isalnum() else "x" for c in new] == [c if not c.isalnum() else "x" for c in v]
+        assert P.replace(new, back=True) == (v, done[v][1])
+
+
+@pytest.mark.parametrize("value", ["1899-12-31", "2100-01-01", "1/05/2015", "7/02/2018", "12 March 1850"])
+def test_all_years_and_mixed_widths(value):
+    new, kinds = P.replace(value)
+    assert kinds == ["date"] and new != value and P.replace(new, back=True)[0] == value
+
+
+def test_small_domains_are_permuted_whole():
+    """All days of a narrow layout, all last octets: nothing collides, nothing leaves the layout."""
+    days = [f"{m}/{d}/19{y:02d}" for y in range(100) for m in range(1, 10) for d in range(1, 10)]
+    new = {P.replace(v)[0] for v in days}
+    assert len(new) == len(days) and all(re.fullmatch(r"\d/\d/\d{4}", v) for v in new)
+    hosts = [f"1.2.3.{i}" for i in range(256)]
+    assert len({P.replace(h)[0] for h in hosts}) == 256
+
+
+def test_columns_of_any_name_pass(spark):
+    names = ["doc_id", "TEXT", "__new", "new", "N_PII", "c0", "a.b", "text.kinds"]
+    df = spark.createDataFrame([(1, "mail jane@example.com", 2, 3, 4, 5, 6, 7)], "a int, b string, c int, d int, e int, f int, g int, h int").toDF(*names)
+    row = pseudonymise(df, b"k").first()
+    assert row.n_pii == 1 and "jane" not in row.TEXT and row[2:4] == (2, 3)
+    assert pseudonymise(df, b"k").columns == [n for n in names if n != "N_PII"] + ["n_pii", "pii_kinds"]
+    kept = pseudonymise(df, b"k", report=False)
+    assert kept.columns == names and kept.first()[2:] == (2, 3, 4, 5, 6, 7) and "jane" not in kept.first()[1]
+    both = spark.createDataFrame([("a@example.com", "b@example.com")], "x string, y string").toDF("text", "TEXT")
+    row = pseudonymise(both, b"k", report=False).first()
+    assert row[0] != "a@example.com" and row[1] == "b@example.com"
+    with pytest.raises(ValueError):
+        pseudonymise(df, b"")
+
+
+def test_keys(spark):
+    key = pseudonyms.secret_key(spark)
+    assert key == pseudonyms.secret_key(spark) and len(key) >= 32
+    assert Pseudonyms(b"other").replace("10.0.0.1") != P.replace("10.0.0.1")
+
+
 def test_distinct_values_stay_distinct():
     rng = random.Random(1)
     cards = {b + luhn_digit(b) for b in ("%015d" % rng.randrange(10**15) for _ in range(500))}
@@ -125,7 +198,7 @@ def test_pseudonymise_table(odd, none, nameless):
         assert (rows[r.doc_id].text, rows[r.doc_id].pii_kinds) == want
         assert rows[r.doc_id]["a.b"] == r["a.b"] and rows[r.doc_id].n_pii == len(want[1])
     assert rows[7].n_pii == 2
-    assert pseudonymise(none).count() == 0 and pseudonymise(nameless).count() == 3
+    assert pseudonymise(none, b"k").count() == 0 and pseudonymise(nameless, b"k").count() == 3
 
 
 def test_jvm_suspects_miss_nothing(spark):
