@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PIECE_BPE = f"{TOKENIZERS}/piece_bpe_32k.model"
+MULTI_BPE = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
 
 # The published pre-tokenisation of the byte-level vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,9 +101,17 @@ class ByteBpe:
 
         self.ranks = ranks_of(path)
         self.size = len(self.ranks)
+        self.width = "<u4"
         self.encoding = tiktoken.Encoding(
             "public", pat_str=PRETOKEN, mergeable_ranks=self.ranks, special_tokens={}
         )
+        # No whole characters: what a text of unknown script falls back to.
+        self.is_byte = np.zeros(self.size, bool)
+        for token, i in self.ranks.items():
+            try:
+                token.decode()
+            except UnicodeDecodeError:
+                self.is_byte[i] = True
         self.single = self.encoding._core_bpe.encode_single_piece
         self.ids = Remember(lambda c: array("I", self.chunk_ids(c)).tobytes())
 
@@ -115,6 +124,37 @@ class ByteBpe:
         return np.frombuffer(b"".join(map(self.ids.__getitem__, CHUNK.findall(text))), "<u4")
 
 
+SPACED = re.compile(" +[^ ]*")
+
+
+class Pieces:
+    """Exact sentencepiece ids, of which no piece straddles a space: each word is encoded once."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        n = self.model.get_piece_size()
+        self.size = n
+        spaces = {"<0x09>", "<0x0A>", "<0x0D>"}
+        self.is_byte = np.array([self.model.is_byte(i) and self.model.id_to_piece(i) not in spaces for i in range(n)])
+        self.width = "<u2" if n <= 1 << 16 else "<u4"
+        space = self.model.piece_to_id("▁")
+        self.ids = Remember(
+            lambda c: np.array(self.model.encode(c[1:]) if c != " " else [space], self.width).tobytes()
+        )
+
+    def encode(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, self.width)
+        return np.frombuffer(b"".join(map(self.ids.__getitem__, SPACED.findall(" " + text))), self.width)
+
+
+def vocabulary(path: str) -> type:
+    """The class that reads a tokenizer file."""
+    return Pieces if path.endswith(".model") else ByteBpe
+
+
 _LOADED: dict = {}
 
 

@@ -11,14 +11,15 @@ of the unit lengths,
 and as the admissible i only move forward, a monotone queue yields each minimum in constant
 time: linear in all, and the least cost for the shard. Ties take the earliest cut.
 
-A shard is a run of the order, packed by itself (its last window bears its padding), so shards
-run in parallel and the result doesn't depend on the cluster. Only unit lengths are shuffled,
-a few bytes a sentence, never texts. Exact token counts come from a public vocabulary.
+A shard is a run of the order of about shard_units units, by the count of units before it and not by
+the values of ids, and is packed by itself (its last window bears its padding): shards run in
+parallel, and the result doesn't depend on the cluster, on gaps between ids or on the files. The order
+is found by one range shuffle of the unit lengths, a few bytes a sentence, and a count a partition;
+texts are never shuffled. Exact token counts come from a public vocabulary.
 
 Defined results: null and empty texts have no tokens and appear in no window; repeated rows
-are packed each by itself; rows of equal order keep (doc_id, text hash) order; null ids form
-shard null, in order of their texts' hashes; other columns are ignored; an empty table gives no
-windows.
+are packed each by itself; rows of equal order keep (doc_id, text hash) order, null ids first;
+columns may have any names; an empty table gives no windows.
 """
 
 from __future__ import annotations
@@ -28,13 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_BPE, CHUNK, ByteBpe, Remember, col, loaded, slices
+from ..session import stored
+from .common import BYTE_BPE, CHUNK, ByteBpe, Remember, loaded, numbered, place, slices
 
 SCHEMA = (
-    "shard string, window int, n_tokens int, padding int, cut string, "
+    "shard long, window int, n_tokens int, padding int, cut string, "
     "pieces array<struct<doc_id:long,start:int,stop:int>>"
 )
 ENDS = tuple(".!?…。！？।")
@@ -107,7 +111,7 @@ def cuts(lengths: np.ndarray, penalty: np.ndarray, window: int) -> tuple[list[in
 
 
 def pack_shard(table: pa.Table, window: int, split_penalty: int, hard_penalty: int) -> pa.Table:
-    table = table.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("tie", "ascending")])
+    table = table.sort_by([("at", "ascending")])
     ids = table["doc_id"].to_pylist()
     units = table["units"].combine_chunks()
     bounds = np.asarray(units.offsets)
@@ -143,7 +147,7 @@ def pack_shard(table: pa.Table, window: int, split_penalty: int, hard_penalty: i
 
 
 OUT = pa.schema(
-    [("shard", pa.string()), ("window", pa.int32()), ("n_tokens", pa.int32()), ("padding", pa.int32()),
+    [("shard", pa.int64()), ("window", pa.int32()), ("n_tokens", pa.int32()), ("padding", pa.int32()),
      ("cut", pa.string()), ("pieces", pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])))]
 )
 
@@ -152,56 +156,81 @@ def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    place: Column | None = None,
-    shard: Column | None = None,
-    shard_docs: int = 4096,
+    order: list[Column] | None = None,
+    shard_units: int = 1 << 18,
     window: int = 2048,
     split_penalty: int = 64,
     hard_penalty: int = 1024,
     tokenizer: str = BYTE_BPE,
 ) -> DataFrame:
-    """Windows of the corpus in order of `place` (default: the id).
+    """Windows of the corpus in the order of some columns (default: the id).
 
-    shard: which run of the order a row is in (default: place divided by shard_docs, rounded
-    down). pieces: the token ranges [start, stop) of documents that fill a window, in order.
+    (shard, window) is the order of the windows. pieces: the token ranges [start, stop) of documents
+    that fill a window, in order.
     """
-    place = (col(docs, id_col) if place is None else place).cast("long")
-    shard = F.floor(place / F.lit(shard_docs)).cast("string") if shard is None else shard.cast("string")
+    keys = [f"k{i}" for i in range(len(order or [0]))]
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(UnitCounter, tokenizer)
         for batch in slices(batches, 2048):
-            found = [counter.lengths(t) for t in batch.column(4).to_pylist()]
+            found = [counter.lengths(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             offsets = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) for x in found], out=offsets[1:])
             flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], lists], names=["shard", "place", "doc_id", "tie", "units"]
-            )
-
-    text = col(docs, text_col).cast("string")
-    sent = docs.select(
-        shard.alias("shard"),
-        place.alias("place"),
-        col(docs, id_col).cast("long").alias("doc_id"),
-        F.xxhash64(text).alias("tie"),
-        text.alias("text"),
-    ).where("text is not null and text != ''")
-    lengths = sent.mapInArrow(units, "shard string, place long, doc_id long, tie long, units array<int>")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*keys, "doc_id", "tie", "units"])
+
+    text = F.col(place(docs, text_col)).cast("string")
+    ident = F.col(place(docs, id_col)).cast("long")
+    if order is None:
+        sent = numbered(docs).select(ident.alias("k0"), ident.alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    else:
+        # The order is said in the input's own names; it comes last, where it clashes with none.
+        n = len(docs.columns)
+        both = docs.select("*", *order)
+        both = both.toDF(*(f"c{i}" if i < n else keys[i - n] for i in range(n + len(keys))))
+        sent = both.select(*keys, ident.alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    sent = sent.where("text is not null and text != ''")
+    kinds = ", ".join(f"{k} {sent.schema[k].dataType.simpleString()}" for k in keys)
+    # Stored, because a range shuffle reads its input twice.
+    lengths = stored(sent.mapInArrow(units, f"{kinds}, doc_id long, tie long, units array<int>"))
+    by = [*keys, "doc_id", "tie", "row"]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their place in the partition and the units before them."""
+        task, row, before = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            offsets = np.asarray(batch.column(1).offsets)
+            n, sizes = batch.num_rows, np.diff(offsets)
+            total = before + np.cumsum(sizes, dtype=np.int64)
+            columns = [pa.array(np.full(n, task, np.int32)), pa.array(row + np.arange(n)), pa.array(total - sizes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=["doc_id", "units", "part", "at", "before"])
+            row, before = row + n, before + int(sizes.sum())
+
+    # Equal rows are told apart by where they lie, so that any number of them can be split.
+    ranged = lengths.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    ranged = stored(ranged.select("doc_id", "units").mapInArrow(counted, "doc_id long, units array<int>, part int, at long, before long"))
+    # One row a partition of the range shuffle.
+    sums = ranged.groupBy("part").agg(F.max(F.col("before") + F.size("units")).alias("n"))
+    starts = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    shard = F.floor((F.col("start") + F.col("before")) / F.lit(shard_units)).cast("long")
+    at = F.col("part").cast("long") * F.lit(1 << 40) + F.col("at")
+    placed = ranged.join(starts, "part").select(shard.alias("shard"), at.alias("at"), "doc_id", "units")
 
     def one(table: pa.Table) -> pa.Table:
         return pack_shard(table, window, split_penalty, hard_penalty)
 
-    return lengths.groupBy("shard").applyInArrow(one, SCHEMA)
+    return placed.groupBy("shard").applyInArrow(one, SCHEMA)
 
 
-def pack_in_file_order(docs: DataFrame, shard_docs: int = 4096, **options) -> DataFrame:
-    """pack() of a DataFrame that reads files, in order of file name and row: the order written.
+def pack_in_file_order(docs: DataFrame, **options) -> DataFrame:
+    """pack() in the order in which the rows were written: by file name and row of what docs reads.
 
-    A shard is a run of shard_docs rows of one file.
+    Rows that come from anywhere else are written first, in their own order, to the shared folder.
     """
-    row = F.col("_metadata.row_index")
-    shard = F.concat_ws(":", F.col("_metadata.file_name"), F.floor(row / F.lit(shard_docs)))
-    placed = docs.select("*", row.alias("__row"), shard.alias("__shard"))
-    return pack(placed, place=F.col("__row"), shard=F.col("__shard"), **options)
+    order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        docs.select(*order)
+    except AnalysisException:
+        docs = stored(docs)
+    return pack(docs, order=order, **options)
