@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE_BPE, PRETOKEN, WORD, WS, ByteBpe, Remember, col, loaded, slices
+from .common import BYTE_BPE, PRETOKEN, WORD, WS, ByteBpe, Remember, loaded, slices, texts_of
 
 # A run of two or more white-space characters is kept with the word after it: whether its
 # last character goes with the word depends on both.
@@ -204,6 +204,4 @@ def prefix_counts(
                 names=["doc_id", "n_chars", "n_tokens", "width", "stride", "counts", "changes", "fits"],
             )
 
-    return docs.select(
-        col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).cast("string").alias("text")
-    ).mapInArrow(run, SCHEMA)
+    return texts_of(docs, id_col, text_col).mapInArrow(run, SCHEMA)

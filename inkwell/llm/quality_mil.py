@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, runs, slices, utf8
+from .common import numbered, place, runs, slices, take, texts_of, utf8
 
 BUCKETS = 512
 CLASSES = 12
@@ -196,19 +196,23 @@ def fit(
     that is passed over whole.
     """
     known = (
-        labels.select(col(labels, id_col).cast("long").alias("id"), col(labels, label_col).cast("int").alias("y"))
+        take(labels, id=id_col, y=label_col)
+        .select(F.col("id").cast("long"), F.col("y").cast("int"))
         .where("id is not null and y in (0, 1)")
         .groupBy("id")
         .agg(F.max("y").alias("y"))
     )
     # A little more than half the sample of each class: some labels' documents may be gone.
-    order = F.xxhash64("id")
-    chosen = known.where("y = 0").orderBy(order).limit(sample).unionAll(known.where("y = 1").orderBy(order).limit(sample))
-    texts = docs.select(col(docs, id_col).cast("long").alias("id"), col(docs, text_col).cast("string").alias("text"))
-    # `chosen` has at most 2 * sample rows, whatever the input.
+    order = F.xxhash64("id"), F.col("id")
+    chosen = known.where("y = 0").orderBy(*order).limit(sample).unionAll(known.where("y = 1").orderBy(*order).limit(sample))
+    texts = texts_of(docs, id_col, text_col).withColumnRenamed("doc_id", "id")
+    # `chosen` has at most 2 * sample rows of two numbers, whatever the input.
+    chosen = F.broadcast(chosen) if sample <= 1_000_000 else chosen
     sized = texts.where("text is not null and text != ''").select("*", F.octet_length("text").alias("bytes"))
-    found = sized.join(F.broadcast(chosen), "id").where(F.col("bytes") <= sample_bytes // 2).dropDuplicates(["id"])
-    so_far = Window.partitionBy("y").orderBy(order)
+    found = sized.join(chosen, "id").where(F.col("bytes") <= sample_bytes // 2)
+    # Of an id's several texts the one of the least hash.
+    found = found.groupBy("id", "y").agg(F.min_by(F.struct("text", "bytes"), F.xxhash64("text")).alias("t")).select("id", "y", "t.*")
+    so_far = Window.partitionBy("y").orderBy(*order)
     kept = found.select("*", F.sum("bytes").over(so_far).alias("total"), F.row_number().over(so_far).alias("rank"))
     rows = kept.where((F.col("total") <= sample_bytes // 2) & (F.col("rank") <= sample // 2)).select("id", "text", "y").toArrow()
     rows = rows.sort_by("id").combine_chunks()
@@ -254,9 +258,7 @@ def score_quality(
                 names=["doc_id", "quality_score", "keep"],
             )
 
-    return docs.select(
-        col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).cast("string").alias("text")
-    ).mapInArrow(run, "doc_id long, quality_score double, keep boolean")
+    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, quality_score double, keep boolean")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = 1024, **fitting) -> DataFrame:
@@ -272,4 +274,5 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             out += [v is not None and v >= threshold for v in scores(raw, offsets, model, passage)]
         return pa.array(out, pa.bool_())
 
-    return docs.where(good(col(docs, text_col).cast("string")))
+    kept = numbered(docs).where(good(F.col(place(docs, text_col)).cast("string")))
+    return kept.toDF(*docs.columns)

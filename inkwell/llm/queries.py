@@ -58,7 +58,7 @@ def op7_ordered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.in_order(mixing.mix_sources(documents(spark, sf_dir)))
+    mixed = mixing.mix_sources(documents(spark, sf_dir))
     return mixed.withColumn("position", F.round("position", 6))
 
 

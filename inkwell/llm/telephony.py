@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices
+from .common import slices, take
 
 SCHEMA = "doc_id long, codec string, n_samples int, sample_rate int, pcm binary"
 
@@ -203,8 +203,7 @@ def decode_telephony(
                 names=["doc_id", "codec", "n_samples", "sample_rate", "pcm"],
             )
 
-    return df.select(
-        col(df, id_col).cast("long").alias("doc_id"),
-        col(df, payload_col).cast("binary").alias("payload"),
-        F.lower(col(df, codec_col).cast("string")).alias("codec"),
-    ).mapInArrow(run, SCHEMA)
+    calls = take(df, doc_id=id_col, payload=payload_col, codec=codec_col).select(
+        F.col("doc_id").cast("long"), F.col("payload").cast("binary"), F.lower(F.col("codec").cast("string")).alias("codec")
+    )
+    return calls.mapInArrow(run, SCHEMA)

@@ -68,18 +68,66 @@ def test_positions_invert_demand(spark):
     assert np.allclose(got, np.interp(q, area, grid), atol=1e-5)
 
 
-def test_in_order(sources):
-    mixed = mixing.in_order(mixing.mix_sources(sources), 7)
-    parts = mixed.select(F.spark_partition_id().alias("p"), "position").collect()
-    assert [r.position for r in parts] == sorted(r.position for r in parts) and len({r.p for r in parts}) == 7
+@pytest.mark.parametrize("parts", [1, 7, 300])
+def test_rows_are_in_order_and_positions_do_not_depend_on_the_parts(sources, parts):
+    mixed = mixing.mix_sources(sources, parts=parts, schedule=SCHEDULE, knots=KNOTS)
+    assert mixed.rdd.getNumPartitions() == parts
+    rows = mixed.select(F.spark_partition_id().alias("p"), "position", "doc_id", "epoch").collect()
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    assert all(min(int(r.position * parts), parts - 1) == r.p for r in rows)
+    other = mixing.mix_sources(sources, parts=3, schedule=SCHEDULE, knots=KNOTS).collect()
+    key = lambda rs: sorted((r.doc_id, r.epoch, round(r.position, 9)) for r in rs)
+    assert key(rows) == key(other)
+
+
+def test_whole_rows_are_shuffled_once(spark, sf):
+    docs = table(spark, sf, "documents")
+    plan = mixing.mix_sources(docs, carry=True)._jdf.queryExecution().executedPlan().toString()
+    texts = [x for x in plan.split("\n") if "Exchange" in x and "SortMergeJoin" not in x]
+    wide = [x for x in plan.split("\n") if "REPARTITION_BY_NUM" in x]
+    assert len(wide) == 1 and not any("Window" in x for x in wide) and texts
+
+
+def test_unspaced_words_are_counted(spark):
+    rows = [("漢字 and かな。\tx", 7), ("a  b", 2), (" ", 0), (None, 0), ("ไทย", 3)]
+    got = spark.createDataFrame(rows, "t string, n int").select(mixing.word_count(F.col("t")).alias("m"), "n").collect()
+    assert [r.m for r in got] == [r.n for r in got]
+
+
+def test_tokens_may_be_given(spark):
+    df = spark.createDataFrame([(i, "x", "s", i % 5) for i in range(50)], "doc_id long, text string, source string, tokens int")
+    assert {(r.doc_id, r.n_tokens) for r in mixing.mix_sources(df, tokens_col="tokens").collect()} == {(i, i % 5) for i in range(50)}
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["doc_id", "Text", "source", "s", "b", "N", "h", "part", "__n", "EPOCH", "a.b", "position", "lo", "c1"]
+    df = spark.createDataFrame([tuple([1, "x y", "s", *range(11)])], ", ".join(f"v{i} {t}" for i, t in enumerate(["int", "string", "string"] + ["int"] * 11))).toDF(*names)
+    out = mixing.mix_sources(df, carry=True)
+    kept = [n for n in names if n not in ("EPOCH", "position")]
+    assert out.columns == [*kept, "epoch", "position"]
+    assert list(out.first())[3:-2] == [v for n, v in zip(names[3:], range(11)) if n in kept]
+
+
+def test_mixing_against_its_sql(spark, odd, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    more = spark.createDataFrame([(i % 300, f"word {'x ' * (i % 9)}" if i % 7 else None, ["a", "b", None][i % 3]) for i in range(600)] + [(900, " ", "blank"), (901, "", "blank")], "doc_id long, text string, source string")
+    both = more.unionByName(odd.select("doc_id", "text", "source"))
+    both.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    want = con.execute(mixing.oracle()).fetchall()
+    got = [(*list(r)[:4], round(r.position, 6)) for r in mixing.mix_sources(both, parts=9).collect()]
+    flat = lambda rows: sorted(map(repr, rows))
+    assert flat(got) == flat(want)
+    assert {r[0] for r in got} == {r.doc_id for r in both.collect()}
 
 
 def test_mixing_edges(odd, none, nameless):
     rows = mixing.mix_sources(odd).collect()
-    assert {r.doc_id for r in rows} >= {1, 2, 5, 7, 8, None} and {r.source for r in rows} == {None, "s0", "s1", "s2"}
+    assert {r.doc_id for r in rows} == {1, 2, 3, 4, 5, 6, 7, 8, None} and {r.source for r in rows} == {None, "s0", "s1", "s2"}
     assert len([r for r in rows if r.doc_id == 1 and r.epoch == 0]) == 2
     assert mixing.mix_sources(none).count() == 0
-    assert mixing.mix_sources(nameless).count() == 0  # no tokens, no demand
+    assert [(r.position, r.epoch) for r in mixing.mix_sources(nameless).collect()] == [(0.0, 0)] * 3  # no tokens: once, at 0
     whole = mixing.mix_sources(odd, carry=True)
     assert whole.columns == [c for c in odd.columns if c not in ("epoch", "position")] + ["epoch", "position"]
     assert whole.count() == len(rows)
@@ -438,15 +486,31 @@ def test_pipeline_against_its_stages(spark, sf, tmp_path):
     roots = components(brute(rows, 0.5))
     assert {r.doc_id for r in out["near_duplicates"]} == {i for i, _ in rows if roots.get(i, i) == i}
     clean = {r.doc_id: r for r in out["personal_data"]}
+    key = queries.pseudonyms.Pseudonyms(queries.pseudonyms.secret_key(spark))
     assert len(clean) == len(out["near_duplicates"])
     for r in out["near_duplicates"]:
-        assert clean[r.doc_id].text == queries.pseudonyms.Pseudonyms(b"inkwell demonstration key").replace(r.text)[0]
+        assert clean[r.doc_id].text == key.replace(r.text)[0]
     assert {r.doc_id for r in out["mixing"]} == set(clean)
     packed = [p.doc_id for w in out["packing"] for p in w.pieces]
     assert set(packed) == {r.doc_id for r in out["mixing"] if r.text.strip("")}
     assert corpus_pipeline.run(spark, sf).count() == len(out["packing"])
 
 
+@pytest.mark.parametrize("which", ["odd", "none", "nameless"])
+def test_every_stage_takes_odd_tables(spark, request, sf, which):
+    docs = request.getfixturevalue(which)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != "packing":
+            assert out.columns == docs.columns, name
+        rows = out.collect()
+        if which == "none":
+            assert not rows
+        if which == "odd":
+            found = {r.doc_id for r in rows} if name != "packing" else {p.doc_id for r in rows for p in r.pieces}
+            assert found >= {1, 7} if name == "quality" else found >= {None, 1, 5, 6, 7, 8}
+
+
 def test_packing_follows_the_files(spark, sf, tmp_path):
     mixed = corpus_pipeline.mixing(spark, table(spark, sf, "documents"), sf)
     mixed.write.parquet(str(tmp_path / "m"))

@@ -209,6 +209,100 @@ def test_jvm_suspects_miss_nothing(spark):
 
 # --- licenses ------------------------------------------------------------------------------
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2021 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_HEADER = """/*
+ * This file is part of something.
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ */
+int main() { return 0; }
+"""
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+
+
+def wrapped(name, lead="", width=72):
+    """A template broken into lines, with a blank line before its longer sentences."""
+    text = next(t for n, _, t in licenses.default_templates() if n == name)
+    parts = re.split(r"(?<=[.:]) (?=[A-Z])", text)
+    return "\n\n".join(textwrap.fill(p, width, initial_indent=lead, subsequent_indent=lead) for p in parts)
+
+
+@pytest.mark.parametrize(
+    "text,license",
+    [
+        (MIT_FILE, "MIT"), (GPL_HEADER, "GPL-3.0"), (APACHE_HEADER, "Apache-2.0"),
+        (wrapped("ISC/full", "// "), "ISC"), (wrapped("MPL-2.0/header", " * "), "MPL-2.0"), (wrapped("BSD-2-Clause/full"), "BSD-2-Clause"),
+        (wrapped("BSD-3-Clause/full", "# "), "BSD-3-Clause"), (wrapped("EPL-2.0/header"), "EPL-2.0"), (wrapped("Unlicense/notice"), "Unlicense"),
+        (wrapped("LGPL-2.1/header-library", "; "), "LGPL-2.1"), (wrapped("AGPL-3.0/header"), "AGPL-3.0"), (wrapped("Zlib/notice"), "Zlib"),
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"),
+    ],
+)
+def test_licenses_as_they_are_written(text, license):
+    scanner = licenses.Scanner(licenses.default_templates(), 3)
+    for t in (text, f"Some prose comes before.\n\n{text}\n\nand after."):
+        assert {r[3] for r in scanner.scan(t, 0.1, 0.1)} - {None} == {license}
+
+
+def test_ranking_by_brute_force():
+    """The rank of every template by compressing with each dictionary, one at a time."""
+    import zstandard as z
+
+    templates = licenses.default_templates()
+    scanner = licenses.Scanner(templates, 3)
+    for block in (MIT_FILE, GPL_HEADER, "Released under the MIT License.", "all about licences and dogs"):
+        data = licenses.Scanner.form(block)
+        params = z.ZstdCompressionParameters.from_level(3, write_content_size=False, write_dict_id=False)
+        alone = len(z.ZstdCompressor(compression_params=params).compress(data))
+        want = []
+        for name, _, text in templates:
+            d = z.ZstdCompressionDict(licenses.Scanner.form(text), dict_type=z.DICT_TYPE_RAWCONTENT)
+            want.append((len(z.ZstdCompressor(dict_data=d, compression_params=params).compress(data)) - alone, name))
+        size, order = scanner.ranked(block)
+        assert size == alone and [x[:2] for x in order] == sorted(want)
+    assert scanner.ranked(MIT_FILE)[1][0][1] == "MIT/full"
+
+
+def test_blocks_go_to_the_end_of_a_paragraph():
+    lines = ["copyright one"] + ["words"] * 30 + ["all rights reserved", "", "copyright two"]
+    assert list(licenses.blocks(lines, [i in (0, 31, 33) for i in range(34)])) == [(0, 31), (33, 33)]
+
 
 def scan(spark, *texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
