@@ -1,6 +1,8 @@
 """A training corpus in five stages, each on all that the one before kept.
 
-Stages take (spark, docs, sf_dir); all but the last return the columns of documents.
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents, whatever more of
+them docs has and whatever their names. Null and empty texts are rejected by the first; rows of null
+ids go through all of them; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -8,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm.jaccard_join import drop_near_duplicates
-from inkwell.llm.mixing import in_order, mix_sources
-from inkwell.llm.packing import pack, pack_in_file_order
-from inkwell.llm.pseudonyms import pseudonymise
+from inkwell.llm.mixing import mix_sources
+from inkwell.llm.packing import pack_in_file_order
+from inkwell.llm.pseudonyms import pseudonymise, secret_key
 from inkwell.llm.quality_mil import keep_quality
-from inkwell.session import shared_dir, ship, table
+from inkwell.session import ship, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,26 +23,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each class of near copies."""
     ship(spark)
     return drop_near_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data as pseudonyms."""
-    ship(spark)
-    return pseudonymise(docs).select(*docs.columns)
+    """Personal data as pseudonyms under the session's key (spark.inkwell.pseudonym.secret)."""
+    return pseudonymise(docs, secret_key(ship(spark)), report=False)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents, some more than once, in the order of training; the files keep the order."""
-    return in_order(mix_sources(docs, carry=True)).drop("epoch", "position")
+    ship(spark)
+    return mix_sources(docs, carry=True, report=False)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of tokens, in that order."""
+    """Windows of tokens, in the order in which docs was written."""
     ship(spark)
-    return pack_in_file_order(docs) if docs.inputFiles() else pack(docs)
+    return pack_in_file_order(docs)
 
 
 STAGES = [
@@ -53,12 +55,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's are written to the shared folder and read again."""
+    """The last stage's rows; each stage's are written to the shared folder and read again. The
+    folders go when the application ends."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        path = shared_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

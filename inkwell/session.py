@@ -49,7 +49,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share.
+    """A fresh path in the folder that all executors share; it goes when the application ends.
 
     It lies under spark.checkpoint.dir. Where the session names none (tests, a laptop) a
     folder of this machine is set, and only on a local master.
@@ -62,7 +62,11 @@ def shared_dir(spark: SparkSession) -> str:
 
         base = "file://" + tempfile.mkdtemp(prefix="inkwell-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/inkwell-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/inkwell-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{path.toString()}/data"
 
 
 def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
