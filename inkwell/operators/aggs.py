@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from . import query as Q
-from .compile import matches
+from .compile import matched_docs
 from .index import Index
 
 
@@ -155,7 +155,7 @@ def metrics_of(rows: DataFrame, by: list[str], metrics: dict[str, Metric]) -> Da
             agg = F.percentile("v", points) if m.exact else F.percentile_approx("v", points, 10_000)
         part = values.groupBy(*by).agg(agg.alias(n))
         if not by:
-            out = out.crossJoin(part)
+            out = out.withColumn(n, part.scalar())
             continue
         on = [F.col(f"a.{b}").eqNullSafe(F.col(f"b.{b}")) for b in by]
         out = out.alias("a").join(part.alias("b"), on, "left").select("a.*", f"b.{n}")
@@ -180,11 +180,8 @@ def aggregate(rows: DataFrame, buckets: Buckets, by: tuple[str, ...] = (), name:
             spark = rows.sparkSession
             names = spark.createDataFrame([(i, r.title()) for i, r in enumerate(buckets.ranges)], f"ord int, {name} string")
             empty = metrics_of(rows.limit(0), [], buckets.metrics)
-            fill = [F.coalesce(F.col(f"o.{c}"), F.col(f"e.{c}")).alias(c) for c in ("count", *buckets.metrics)]
-            out = (
-                names.alias("n").join(out.alias("o"), name, "left").crossJoin(empty.alias("e"))
-                .orderBy("ord").select(name, *fill)
-            )
+            fill = [F.coalesce(F.col(c), empty.select(c).scalar()).alias(c) for c in ("count", *buckets.metrics)]
+            out = names.join(out, name, "left").orderBy("ord").select(name, *fill)
     else:
         exploded = rows.select("*", F.explode(buckets.of).alias(name))
         out = metrics_of(exploded, [*keys, name], buckets.metrics)
@@ -198,7 +195,8 @@ def aggregate(rows: DataFrame, buckets: Buckets, by: tuple[str, ...] = (), name:
             out = out.join(every, keys).join(kept, keys)
         else:
             out = out.orderBy(F.col("count").desc(), name).limit(buckets.size)
-            out = out.crossJoin(every).crossJoin(out.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("__kept")))
+            kept = out.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("__kept"))
+            out = out.withColumn("__all", every.scalar()).withColumn("__kept", kept.scalar())
         out = out.withColumn("other", F.col("__all") - F.col("__kept")).drop("__all", "__kept")
         if not keys:
             out = out.orderBy(F.col("count").desc(), name)
@@ -212,7 +210,7 @@ def aggregate(rows: DataFrame, buckets: Buckets, by: tuple[str, ...] = (), name:
 
 def matched(index: Index, q: Q.Query) -> DataFrame:
     """Matches with their documents, the rows that aggregations read."""
-    return matches(index, q).join(index.docs, "doc_num")
+    return matched_docs(index, q)
 
 
 def standard(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import query as Q
-from .compile import Compiled, idf, matches, walk
+from .compile import Compiled, idf, matched_docs, matches, walk
 from .index import KEYWORD, TEXT, Index
 
 
@@ -77,9 +77,9 @@ def beyond(keys: tuple[Q.SortKey, ...], values: tuple, flip: bool) -> Column:
 def search(index: Index, request: Search) -> DataFrame:
     """The hits in order: doc_num, _id, score, the selected columns."""
     by_score = len(request.keys) == 1 and request.keys[0].name == "_score" and request.keys[0].expr is None
-    found = matches(index, request.query, request.scored)
     if by_score and request.after is None and request.before is None:
         # Only the hits that are returned meet the document columns.
+        found = matches(index, request.query, request.scored)
         top = found.orderBy(F.col("score").desc() if request.keys[0].desc else F.col("score"), "doc_num")
         top = page(top, request)
         cols = ["doc_num", "score", "_id", *request.select]
@@ -87,7 +87,7 @@ def search(index: Index, request: Search) -> DataFrame:
         return explained(index, request, out).orderBy(
             F.col("score").desc() if request.keys[0].desc else F.col("score"), "doc_num"
         )
-    rows = found.join(index.docs, "doc_num").select(
+    rows = matched_docs(index, request.query, request.scored).select(
         "*", *(sort_value(index, k).alias(f"k{i}") for i, k in enumerate(request.keys))
     )
     if request.before is not None:

@@ -2,9 +2,10 @@
 
 All term leaves of a tree are read in one pass over the postings of the fields they name; each
 posting adds its BM25 weight to the leaves that it belongs to, and one aggregation by document
-gives every leaf a flag and a score. Predicates on typed columns and phrase conditions are
-Columns on the documents. The tree itself is then one Column expression over flags and scores:
-n clauses cost one shuffle, not n joins. Statistics (document counts, lengths, document
+gives every leaf a flag and a score, and a phrase the places of its terms. Predicates on typed
+columns are Columns on the documents; those that every match must satisfy filter the scan. The
+tree itself is then one Column expression over flags and scores: n clauses cost one shuffle, not
+n joins. Statistics (document counts, lengths, document
 frequencies of the terms read) are aggregates joined in; they are small and AQE broadcasts them.
 """
 
@@ -38,6 +39,7 @@ class Compiled:
     scored: bool = True
     terms: list[TermsLeaf] = field(default_factory=list)
     flags: list[Column] = field(default_factory=list)
+    phrases: list[Column] = field(default_factory=list)  # which postings hold a phrase's terms
     everything: bool = False
 
     def leaf(self, leaf: TermsLeaf) -> tuple[Column, Column]:
@@ -50,6 +52,11 @@ class Compiled:
         self.flags.append(F.coalesce(condition, F.lit(False)))
         return F.col(f"f{len(self.flags) - 1}"), F.lit(float(score))
 
+    def phrase(self, name: str, slots: list[tuple[str, ...]], slop: int) -> Column:
+        wanted = {t for s in slots for t in s}
+        self.phrases.append((F.col("field") == name) & F.col("term").isin(*wanted))
+        return F.coalesce(phrase(F.col(f"p{len(self.phrases) - 1}"), slots, slop), F.lit(False))
+
 
 def edit_distance(a: str, b: str, most: int) -> int:
     """Optimal string alignment distance, or most + 1."""
@@ -140,8 +147,25 @@ def walk(c: Compiled, q: Q.Query) -> tuple[Column, Column] | None:
             ]
             if not parts:
                 return None
-            ok, _ = c.flag(phrase(ix.tokens(q.field), slots, q.slop))
+            ok = c.phrase(q.field, slots, q.slop)
             return reduce(lambda a, b: a & b, (p[0] for p in parts), ok), reduce(lambda a, b: a + b, (p[1] for p in parts))
+        case Q.NumericRange():
+            return c.flag(condition(ix, q), q.boost)
+        case Q.DateRange() | Q.GeoBox() | Q.GeoDistance() | Q.GeoPolygon():
+            return c.flag(condition(ix, q))
+        case Q.MatchAll():
+            c.everything = True
+            return F.lit(True), F.lit(1.0)
+        case Q.MatchNone():
+            return None
+        case Q.Boolean():
+            return boolean(c, q)
+    raise TypeError(f"not a query: {q!r}")
+
+
+def condition(ix: Index, q: Q.Query) -> Column | None:
+    """The predicate of a query on a typed column, null where a document has no value."""
+    match q:
         case Q.NumericRange():
             low, high = F.lit(q.low), F.lit(q.high)
 
@@ -151,7 +175,7 @@ def walk(c: Compiled, q: Q.Query) -> tuple[Column, Column] | None:
                     return a
                 return a & (v <= high if q.include_high else v < high)
 
-            return c.flag(ix.any_value(q.field, number), q.boost)
+            return ix.any_value(q.field, number)
         case Q.DateRange():
             q.validate()
 
@@ -160,22 +184,23 @@ def walk(c: Compiled, q: Q.Query) -> tuple[Column, Column] | None:
                 b = F.lit(True) if q.end is None else v <= F.lit(q.end) if q.include_end else v < F.lit(q.end)
                 return a & b
 
-            return c.flag(ix.any_value(q.field, day))
+            return ix.any_value(q.field, day)
         case Q.GeoBox():
-            return c.flag(ix.any_value(q.field, lambda p: geo.in_box(p["lon"], p["lat"], q.left, q.top, q.right, q.bottom)))
+            return ix.any_value(q.field, lambda p: geo.in_box(p["lon"], p["lat"], q.left, q.top, q.right, q.bottom))
         case Q.GeoDistance():
             m = geo.parse_distance(q.distance)
-            return c.flag(ix.any_value(q.field, lambda p: geo.within_distance(p["lon"], p["lat"], (q.lon, q.lat), m)))
+            return ix.any_value(q.field, lambda p: geo.within_distance(p["lon"], p["lat"], (q.lon, q.lat), m))
         case Q.GeoPolygon():
-            return c.flag(ix.any_value(q.field, lambda p: geo.in_polygon(p["lon"], p["lat"], list(q.points))))
-        case Q.MatchAll():
-            c.everything = True
-            return F.lit(True), F.lit(1.0)
-        case Q.MatchNone():
-            return None
-        case Q.Boolean():
-            return boolean(c, q)
-    raise TypeError(f"not a query: {q!r}")
+            return ix.any_value(q.field, lambda p: geo.in_polygon(p["lon"], p["lat"], list(q.points)))
+    return None
+
+
+def required(ix: Index, q: Q.Query) -> list[Column]:
+    """Bare predicates that every match satisfies, which the scan of the documents can take."""
+    if isinstance(q, Q.Boolean):
+        return [p for x in q.must for p in required(ix, x)]
+    p = condition(ix, q)
+    return [] if p is None else [p]
 
 
 def literal_prefix(rx: str) -> str:
@@ -251,9 +276,7 @@ def phrase(tokens: Column, slots: list[tuple[str, ...]], slop: int) -> Column:
             lambda t: t["term"].isin(*slots[0]) & step(toks, 1, t["pos"], t["src"], F.lit(slop), [(t["pos"], 0)]),
         )
 
-    # Only the phrase's own terms are looked at, and found once.
-    wanted = {t for s in slots for t in s}
-    return F.exists(F.array(F.filter(tokens, lambda t: t["term"].isin(*wanted))), begins)
+    return F.exists(F.array(tokens), begins)
 
 
 def idf(n_docs: Column, df: Column, kind: str) -> Column:
@@ -268,33 +291,53 @@ def bm25(tf: Column, dl: Column, avg: Column, weight: Column, k1: float, b: floa
 
 def matches(index: Index, q: Q.Query, scored: bool = True, parts: bool = False) -> DataFrame:
     """doc_num and score of every match, in no order. parts: keep each leaf's score, s0, s1, .."""
+    return _matches(index, q, scored, parts, False)
+
+
+def matched_docs(index: Index, q: Q.Query, scored: bool = True) -> DataFrame:
+    """Every match with all columns of its document: a query without terms only filters them."""
+    return _matches(index, q, scored, False, True)
+
+
+def _matches(index: Index, q: Q.Query, scored: bool, parts: bool, whole: bool) -> DataFrame:
     c = Compiled(index, scored)
     tree = walk(c, q)
+    columns = index.docs.columns if whole else ["doc_num"]
     if tree is None:
-        return index.docs.select("doc_num", F.lit(0.0).alias("score")).where(F.lit(False))
+        return index.docs.select(*_quoted(columns), F.lit(0.0).alias("score")).where(F.lit(False))
     ok, score = tree
-    found = None
-    if c.terms:
-        accepts = _accepting(c.terms)
-        hits = index.hits(accepts)
-        mine = [(F.col("field") == x.field) & x.accepts(F.col("term")) for x in c.terms]
-        if scored:
-            hits = hits.join(index.weights(accepts, hits), ["field", "term"])
-            avg = F.col("sum_ttf") / F.col("doc_count")
-            add = []
-            for x in c.terms:
-                sim = index.similarity_of(x.field)
-                w = x.boost(F.col("term")) * idf(F.col("doc_count"), F.col("df"), sim.idf)
-                add.append(bm25(F.col("tf"), F.col("dl"), avg, w, sim.k1, sim.b))
-        aggs = [F.max(F.when(m, True)).alias(f"m{k}") for k, m in enumerate(mine)]
-        if scored:
-            aggs += [F.sum(F.when(m, s)).alias(f"s{k}") for k, (m, s) in enumerate(zip(mine, add))]
-        found = hits.groupBy("doc_num").agg(*aggs)
+    score = (score if scored else F.lit(0.0)).alias("score")
+    found = _leaves(c) if c.terms else None
     if found is None or c.flags or c.everything:
-        base = index.docs.select("doc_num", *(f.alias(f"f{k}") for k, f in enumerate(c.flags)))
+        base = reduce(DataFrame.where, required(index, q), index.docs)
+        base = base.select(*_quoted(columns), *(f.alias(f"f{k}") for k, f in enumerate(c.flags)))
         found = base if found is None else base.join(found, "doc_num", "left")
+    elif whole:
+        return found.where(ok).select("doc_num", score).join(index.docs, "doc_num").select(*_quoted(columns), "score")
     extra = [f"s{k}" for k in range(len(c.terms))] if parts and scored else []
-    return found.where(ok).select("doc_num", (score if scored else F.lit(0.0)).alias("score"), *extra)
+    return found.where(ok).select(*_quoted(columns), score, *extra)
+
+
+def _quoted(names: list[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
+
+
+def _leaves(c: Compiled) -> DataFrame:
+    """doc_num with the flag and score of each term leaf, and the tokens of each phrase's terms."""
+    index, accepts = c.index, _accepting(c.terms)
+    hits = index.hits(accepts, at=bool(c.phrases))
+    mine = [(F.col("field") == x.field) & x.accepts(F.col("term")) for x in c.terms]
+    aggs = [F.max(F.when(m, True)).alias(f"m{k}") for k, m in enumerate(mine)]
+    if c.scored:
+        hits = hits.join(index.weights(accepts, hits), ["field", "term"])
+        avg = F.col("sum_ttf") / F.col("doc_count")
+        for k, (x, m) in enumerate(zip(c.terms, mine)):
+            sim = index.similarity_of(x.field)
+            w = x.boost(F.col("term")) * idf(F.col("doc_count"), F.col("df"), sim.idf)
+            aggs.append(F.sum(F.when(m, bm25(F.col("tf"), F.col("dl"), avg, w, sim.k1, sim.b))).alias(f"s{k}"))
+    tokens = F.transform("at", lambda a: F.struct(F.col("term").alias("term"), a["pos"].alias("pos"), a["src"].alias("src")))
+    aggs += [F.flatten(F.collect_list(F.when(m, tokens))).alias(f"p{k}") for k, m in enumerate(c.phrases)]
+    return hits.groupBy("doc_num").agg(*aggs)
 
 
 def _accepting(leaves: list[TermsLeaf]) -> dict[str, Callable[[Column], Column]]:

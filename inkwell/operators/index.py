@@ -11,6 +11,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -18,6 +21,7 @@ from pyspark.sql import types as ST
 from ..functions import native
 
 TEXT, KEYWORD, NUMERIC, DATE, GEO, COMPOSITE, STORED = "text keyword numeric date geo composite stored".split()
+POSTING = ("field", "term", "doc_num", "tf", "dl")
 
 
 @dataclass(frozen=True)
@@ -64,6 +68,27 @@ def infer_fields(df: DataFrame, analyzer: str = "standard") -> tuple[FieldSpec,
     return (*out, FieldSpec("_all", COMPOSITE, exclude=("_id",)))
 
 
+COUNTED = "array<struct<term:string,tf:int,at:array<struct<pos:int,src:string>>>>"
+
+
+def counted_terms(tokens: pa.Array) -> pa.Array:
+    """Of token arrays each distinct term with its frequency and places; one sort a batch."""
+    rows, flat = pc.list_parent_indices(tokens).to_numpy(), tokens.flatten()
+    terms = flat.field("term").dictionary_encode()
+    codes = terms.indices.to_numpy()
+    key = rows.astype(np.int64) * max(1, len(terms.dictionary)) + codes
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.diff(key[order], prepend=-1))
+    bounds = np.append(start, len(order)).astype(np.int32)
+    places = pa.StructArray.from_arrays([flat.field("pos"), flat.field("src")], names=["pos", "src"])
+    first = order[start]
+    out = pa.StructArray.from_arrays(
+        [terms.dictionary.take(pa.array(codes[first])), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds), places.take(pa.array(order)))],
+        names=["term", "tf", "at"],
+    )
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[first], np.arange(len(tokens) + 1)).astype(np.int32)), out)
+
+
 def _distinct_terms(tokens: Column, accept: Callable[[Column], Column]) -> Column:
     return F.array_distinct(F.transform(F.filter(tokens, lambda t: accept(t["term"])), lambda t: t["term"]))
 
@@ -157,37 +182,39 @@ class Index:
 
     # --- postings --------------------------------------------------------------------------
 
-    def hits(self, accepts: dict[str, Callable[[Column], Column]]) -> DataFrame:
-        """field, term, doc_num, tf, dl of the postings that a field's condition accepts."""
+    def hits(self, accepts: dict[str, Callable[[Column], Column]], at: bool = False) -> DataFrame:
+        """field, term, doc_num, tf, dl of the postings that a field's condition accepts; at: with
+        `at`, the position and source field of each occurrence."""
         if self.postings is not None:
             ok = reduce(
                 lambda a, b: a | b, ((F.col("field") == f) & accept(F.col("term")) for f, accept in accepts.items())
             )
-            return self.postings.where(ok).select("field", "term", "doc_num", "tf", "dl")
-        return reduce(DataFrame.unionAll, (self._scan(f, accept) for f, accept in accepts.items()))
+            return self.postings.where(ok).select(*POSTING, *(["at"] if at else []))
+        return reduce(DataFrame.unionAll, (self._scan(f, accept, at) for f, accept in accepts.items()))
 
-    def _scan(self, name: str, accept: Callable[[Column], Column] | None) -> DataFrame:
+    def _scan(self, name: str, accept: Callable[[Column], Column] | None, at: bool = False) -> DataFrame:
+        out = [F.lit(name).alias("field"), *POSTING[1:], *(["at"] if at else [])]
         base = self.docs.select("doc_num", self.tokens(name).alias("t"))
-        terms = F.transform(F.filter("t", lambda t: accept(t["term"])) if accept else F.col("t"), lambda t: t["term"])
-        base = base.select("doc_num", F.size("t").alias("dl"), terms.alias("terms")).where(F.size("terms") > 0)
-        if accept is None:  # all terms of long documents: counted by a shuffle, not in the row
-            each = base.select("doc_num", "dl", F.explode("terms").alias("term"))
-            return (
-                each.groupBy("doc_num", "dl", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-                .select(F.lit(name).alias("field"), "term", "doc_num", "tf", "dl")
-            )
-        counted = F.transform(
-            F.array_distinct("terms"),
-            lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")),
-        )
-        return base.select("doc_num", "dl", F.inline(counted)).select(
-            F.lit(name).alias("field"), "term", "doc_num", "tf", "dl"
-        )
+        if accept is None:  # all terms, also of long documents: counted by a sort, in the row
+            base = base.where(F.size("t") > 0).select("doc_num", F.size("t").alias("dl"), F.arrow_udf(counted_terms, COUNTED)("t").alias("c"))
+            return base.select("doc_num", "dl", F.inline("c")).select(*out)
+        mine = F.filter("t", lambda t: accept(t["term"]))
+        base = base.select("doc_num", F.size("t").alias("dl"), mine.alias("t")).where(F.size("t") > 0)
+
+        def posting(term: Column) -> Column:
+            places = F.filter("t", lambda x: x["term"] == term)
+            parts = [term.alias("term"), F.size(places).alias("tf")]
+            if at:
+                parts.append(F.transform(places, lambda x: F.struct(x["pos"].alias("pos"), x["src"].alias("src"))).alias("at"))
+            return F.struct(*parts)
+
+        counted = F.transform(F.array_distinct(F.transform("t", lambda t: t["term"])), posting)
+        return base.select("doc_num", "dl", F.inline(counted)).select(*out)
 
     def all_postings(self, name: str) -> DataFrame:
         if self.postings is not None:
             return self.postings.where(F.col("field") == name)
-        return self._scan(name, None)
+        return self._scan(name, None, True)
 
     def located(self, name: str) -> DataFrame:
         """term, doc_num, src, pos of every token of a field."""
