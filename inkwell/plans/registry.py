@@ -154,6 +154,15 @@ def match_fuzzy(spark, d):
     return ranked(matches(documents(spark, d), Q.Match("from", "text", "simple", fuzziness=1, prefix=1)))
 
 
+MANY = "the and with that this from pour dans que der und los para".split()
+
+
+@register("disjunction_of_many", any_sql(f"term IN {tuple(MANY)}"))
+def disjunction_of_many(spark, d):
+    """More than ten clauses."""
+    return ranked(matches(documents(spark, d), Q.Match(" ".join(MANY), "text", "simple")))
+
+
 # --- phrases -------------------------------------------------------------------------------
 
 PLACED = f"""p AS (SELECT doc_id, unnest({TOKENS}) AS term, unnest(range(len({TOKENS}))) AS pos FROM documents)"""
@@ -338,7 +347,25 @@ def geo_sort_distance(spark, d):
     return hits.select(F.col("doc_num").alias("c_custkey"), F.col("k0").alias("km"))
 
 
-@register("geohash")
+def _geohash_sql(precision: int) -> str:
+    """Of (ix, iy), half the bits each, longitude first."""
+    half = 5 * precision // 2
+    bit = lambda b: f"(({'iy' if b % 2 else 'ix'} >> {half - 1 - b // 2}) & 1)"
+    codes = (" + ".join(f"{bit(5 * k + b)} * {16 >> b}" for b in range(5)) for k in range(precision))
+    return " || ".join(f"substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST({c} + 1 AS BIGINT), 1)" for c in codes)
+
+
+MORTON = " + ".join(f"((mx >> {b}) & 1)::HUGEINT * {1 << 2 * b} + ((my >> {b}) & 1)::HUGEINT * {2 << 2 * b}" for b in range(32))
+
+
+@register(
+    "geohash",
+    PLACES + f""", cells AS (SELECT c_custkey, least(floor((lon + 180) / 360.0 * 32768), 32767)::BIGINT AS ix,
+  least(floor((lat + 90) / 180.0 * 32768), 32767)::BIGINT AS iy, floor((lon + 180) * (4294967295 / 360.0))::BIGINT AS mx,
+  floor((lat + 90) * (4294967295 / 180.0))::BIGINT AS my FROM g),
+m AS (SELECT c_custkey, {_geohash_sql(6)} AS geohash, {MORTON} AS m FROM cells)
+SELECT c_custkey, geohash, CAST(CASE WHEN m >= 9223372036854775808 THEN m - 18446744073709551616 ELSE m END AS BIGINT) AS morton FROM m""",
+)
 def geohash_cells(spark, d):
     """Geohash and Morton layout key of every place."""
     lon, lat = F.col("at.lon"), F.col("at.lat")
@@ -489,10 +516,20 @@ def agg_cardinality(spark, d):
     return A.metrics_of(rows, ["event_type"], {"users": A.cardinality(F.array("user_id"), exact=True)})
 
 
-@register("agg_cardinality_approx")
+@register("agg_cardinality_approx", "SELECT count(*) AS count, count(DISTINCT user_id) AS users, true AS near FROM events")
 def agg_cardinality_approx(spark, d):
-    rows = A.matched(events(spark, d), Q.MatchAll())
-    return A.metrics_of(rows, [], {"users": A.cardinality(F.array("user_id"))})
+    """A sketch's distinct count beside the exact one, from which it differs by at most 3 %."""
+    rows, of = A.matched(events(spark, d), Q.MatchAll()), F.array("user_id")
+    out = A.metrics_of(rows, [], {"users": A.cardinality(of, exact=True), "about": A.cardinality(of)})
+    return out.select("count", "users", (F.abs(F.col("about") - F.col("users")) <= 0.03 * F.col("users")).alias("near"))
+
+
+@register("agg_quantiles_approx", "SELECT event_type, count(*) AS count, true AS near FROM events GROUP BY event_type")
+def agg_quantiles_approx(spark, d):
+    """A sketch's median, within the exact quantiles 0.49 and 0.51."""
+    rows, of = A.matched(events(spark, d), Q.MatchAll()), F.array("value")
+    out = A.metrics_of(rows, ["event_type"], {"q": A.quantiles(of, (0.49, 0.51), exact=True), "about": A.quantiles(of, (0.5,))})
+    return out.select("event_type", "count", F.col("about")[0].between(F.col("q")[0], F.col("q")[1]).alias("near"))
 
 
 @register("agg_quantiles", "SELECT event_type, count(*) AS count, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
@@ -639,11 +676,24 @@ def highlight_html(spark, d):
     return hits.select(F.col("doc_num").alias("doc_id"), highlight(F.col("text"), {"that", "with"}, "simple").alias("fragments"))
 
 
-@register("explain_scores")
+@register(
+    "explain_scores",
+    bm25_sql("term IN ('the', 'with', 'that')")
+    + """
+SELECT doc_id, round(sum(s), 6) AS total, round(sum(s), 6) AS parts, count(*) AS clauses FROM c
+WHERE doc_id IN (SELECT doc_id FROM c WHERE term = 'the') GROUP BY doc_id ORDER BY total DESC, doc_id LIMIT 10""",
+)
 def explain_scores(spark, d):
-    """The top 10 with how their scores came about."""
+    """The top 10 with how their scores came about, read back from the explanations."""
     q = Q.Boolean(must=(THE,), should=(WITH, THAT))
-    return search(documents(spark, d), Search(q, 10, explain=True)).select(F.col("doc_num").alias("doc_id"), "explanation")
+    keys = (Q.SortKey(expr=F.round("score", 6), desc=True),)
+    rows = search(documents(spark, d), Search(q, 10, sort=keys, explain=True))
+    tree = F.from_json("explanation", "value double, children array<struct<value: double, message: string>>")
+    each = F.transform(tree["children"], lambda x: x["value"])
+    return rows.select(
+        F.col("doc_num").alias("doc_id"), F.round(tree["value"], 6).alias("total"),
+        F.round(F.aggregate(each, F.lit(0.0), lambda a, x: a + x), 6).alias("parts"), F.size(each).cast("long").alias("clauses"),
+    )
 
 
 @register(

@@ -1,28 +1,34 @@
 """Stored indexes: immutable segments, tombstones, and epochs that name them.
 
-    <path>/docs/segment=<n>       documents with their token arrays
-    <path>/postings/segment=<n>   partitioned by field, sorted by term
-    <path>/deleted/epoch=<e>      (segment, doc_num) gone since that epoch
-    <path>/manifest/<e>.json      segments, deletions, checksum
+    <path>/docs/segment=<n>-<id>             documents with their token arrays
+    <path>/postings/segment=<n>-<id>         partitioned by field, sorted by term
+    <path>/deleted/epoch=<e>-<before>-<id>   doc_nums of segments below `before` gone since that epoch
+    <path>/manifest/<e>.json                 segments, deletions, statistics, checksum
+    <path>/trash/<part>~<folder>             since when no manifest names a folder
 
 A batch writes its segment, then its deletions, then one manifest, created exclusively: readers
-see all of it or nothing, and of two writers of one epoch one fails. A reader opens the newest
-manifest whose checksum holds. Deletions apply to segments before the batch, never to the
-batch itself. All file access is by Hadoop's FileSystem, so any store that Spark reads will do.
+see all of it or nothing, and of two writers of one epoch one fails. Folders have fresh ids, so a
+batch that was killed half-way is just written again; what it left, and segments that were merged
+away, are deleted `retain` seconds after a writer first finds them unnamed, so open readers go on.
+Deletions apply to segments before the batch, never to the batch itself, and are forgotten once
+all those segments are. A reader opens the newest manifest whose checksum holds. All file access is
+by Hadoop's FileSystem, so any store that Spark reads will do.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import COMPOSITE, KEYWORD, TEXT, FieldSpec, Index, Similarity
+from ..operators.index import COMPOSITE, KEYWORD, POSTING, TEXT, FieldSpec, Index, Similarity
 from . import merge_plan
 
 # A doc_num is segment << SHIFT | partition << ROWS | row: 524,288 segments of 262,144 partitions
@@ -62,15 +68,20 @@ class Files:
     def exists(self, path: str) -> bool:
         return self.fs.exists(self.path_of(path))
 
+    def age(self, path: str) -> float:
+        """Seconds since a file was written."""
+        return time.time() - self.fs.getFileStatus(self.path_of(path)).getModificationTime() / 1000
+
 
 @dataclass(frozen=True)
 class Manifest:
     epoch: int
-    segments: tuple[int, ...] = ()
-    deleted: tuple[int, ...] = ()  # epochs that have deletions
-    live: dict[str, int] = field(default_factory=dict)
+    segments: tuple[str, ...] = ()
+    deleted: tuple[str, ...] = ()  # folders of deletions
+    live: dict[str, int] = field(default_factory=dict)  # documents written, by segment
     next_segment: int = 1
-    batch_ids: tuple[int, ...] = ()
+    batch_ids: tuple[int, ...] = ()  # the last one: a stream delivers no older one again
+    stats: dict[str, dict[str, list[int]]] = field(default_factory=dict)  # field_stats, by segment
 
     def text(self) -> str:
         body = json.dumps(asdict(self), sort_keys=True)
@@ -85,6 +96,15 @@ class Manifest:
         return Manifest(**{k: tuple(v) if isinstance(v, list) else v for k, v in b.items()})
 
 
+def number(segment: str) -> int:
+    return int(segment.split("-")[0])
+
+
+def before(deletions: str) -> int:
+    """The number of the first segment that a folder of deletions doesn't apply to."""
+    return int(deletions.split("-")[1])
+
+
 def manifests(spark: SparkSession, path: str) -> list[Manifest]:
     """All readable manifests, newest first; broken ones are passed over."""
     files, out = Files(spark, path), []
@@ -137,7 +157,21 @@ class IndexReader:
             raise ValueError("the index has no segments")
         known = {"_id": FieldSpec("_id", KEYWORD, "keyword")} | {f.name: f for f in self.fields}
         tokens = tuple(f.name for f in known.values() if f.kind in (TEXT, KEYWORD) and f.name != "_id")
-        return Index(self._live("docs"), known, self.similarity, self._live("postings"), tokens)
+        return Index(self._live("docs"), known, self.similarity, self._live("postings"), tokens, self._stats())
+
+    def _stats(self) -> DataFrame | None:
+        """The sums of what the segments were written with, as long as nothing is deleted from them."""
+        m = self.manifest
+        if m.deleted or any(s not in m.stats for s in m.segments):
+            return None
+        sums: dict[str, list[int]] = {}
+        for s in m.segments:
+            for name, values in m.stats[s].items():
+                sums[name] = [a + b for a, b in zip(sums.get(name, [0, 0, 0]), values)]
+        if not set(sums) >= {f.name for f in self.fields if f.kind in (TEXT, KEYWORD, COMPOSITE)}:
+            return None
+        rows = [(name, *values) for name, values in sums.items()]
+        return self.spark.createDataFrame(rows, "field string, doc_count long, sum_ttf long, total_docs long")
 
     def count(self) -> int:
         return self.index().docs.count() if self.manifest.segments else 0
@@ -155,20 +189,46 @@ class IndexReader:
 
 
 class IndexWriter:
-    """One writer at a time: a lock file beside the manifests."""
+    """One writer at a time: a lock file with a lease beside the manifests.
+
+    Every batch renews the lease; a writer that was killed loses it after `lease` seconds. One that
+    was slower than its lease fails at its commit if another has taken over: manifests are created
+    exclusively.
+    """
 
     def __init__(
         self, spark: SparkSession, path: str, fields: tuple[FieldSpec, ...], id_col: str, keep: int = 1,
         plan: merge_plan.Options = merge_plan.Options(), on_event: Callable[[str, Manifest], None] | None = None,
+        retain: float = 3600.0, lease: float = 3600.0,
     ):
         self.spark, self.path, self.fields, self.id_col = spark, path, fields, id_col
         self.keep, self.plan, self.on_event = keep, plan, on_event
+        self.retain, self.lease, self.owner = retain, lease, uuid.uuid4().hex
         self.files = Files(spark, path)
-        self.files.create(f"{path}/lock", "")
+        if self.files.exists(f"{path}/lock"):
+            held = json.loads(self.files.read(f"{path}/lock"))
+            if self.files.age(f"{path}/lock") < held["lease"]:
+                raise FileExistsError(f"a writer's lock exists: {path}/lock")
+            self.files.delete(f"{path}/lock")
+        self.files.create(f"{path}/lock", self._lock())
         self.manifest = newest(spark, path)
 
-    def close(self) -> None:
+    def _lock(self) -> str:
+        return json.dumps({"owner": self.owner, "lease": self.lease})
+
+    def _mine(self) -> bool:
+        lock = f"{self.path}/lock"
+        return self.files.exists(lock) and json.loads(self.files.read(lock))["owner"] == self.owner
+
+    def _renew(self) -> None:
+        if not self._mine():
+            raise RuntimeError("another writer has taken the index over")
         self.files.delete(f"{self.path}/lock")
+        self.files.create(f"{self.path}/lock", self._lock())
+
+    def close(self) -> None:
+        if self._mine():
+            self.files.delete(f"{self.path}/lock")
 
     def __enter__(self) -> "IndexWriter":
         return self
@@ -189,27 +249,34 @@ class IndexWriter:
     ) -> Manifest:
         """Inserts, updates (delete by id, then insert) and deletes, as one epoch.
 
-        delete_terms: (field, term) pairs whose documents go. batch_id: a batch seen before is
-        skipped, so that a stream may deliver one again.
+        delete_terms: (field, term) pairs whose documents go. batch_id: the last batch is skipped
+        if it comes again, as a stream may deliver it.
         """
         m = self.manifest
         if batch_id is not None and batch_id in m.batch_ids:
             return m
+        self._renew()
         epoch, deleted = m.epoch + 1, list(m.deleted)
         gone = self._gone(update, delete, delete_terms) if m.segments else None
         if gone is not None:
-            gone.write.mode("error").parquet(f"{self.path}/deleted/epoch={epoch}")
-            deleted.append(epoch)
+            name = f"{epoch}-{m.next_segment}-{uuid.uuid4().hex}"
+            gone.write.mode("error").parquet(f"{self.path}/deleted/epoch={name}")
+            deleted.append(name)
         new = [x for x in (insert, update) if x is not None]
-        segments, live, n = list(m.segments), dict(m.live), m.next_segment
+        m = replace(m, epoch=epoch, deleted=tuple(deleted))
         if new:
-            size = self._write(reduce(DataFrame.unionByName, new), n)
-            if size:
-                segments.append(n)
-                live[str(n)] = size
-            n += 1
-        ids = (*m.batch_ids, batch_id) if batch_id is not None else m.batch_ids
-        return self._commit(Manifest(epoch, tuple(segments), tuple(deleted), live, n, ids))
+            m = self._added(m, reduce(DataFrame.unionByName, new))
+        return self._commit(m if batch_id is None else replace(m, batch_ids=(batch_id,)))
+
+    def _added(self, m: Manifest, rows: DataFrame) -> Manifest:
+        """m with a segment of these rows, if there are any."""
+        name = f"{m.next_segment}-{uuid.uuid4().hex}"
+        stats = self._write(rows, name)
+        m = replace(m, next_segment=m.next_segment + 1)
+        size = next(iter(stats.values()))[2]
+        if not size:
+            return m
+        return replace(m, segments=(*m.segments, name), live=m.live | {name: size}, stats=m.stats | {name: stats})
 
     def _gone(self, update, delete, delete_terms) -> DataFrame | None:
         index, parts = self.reader().index(), []
@@ -226,8 +293,9 @@ class IndexWriter:
             return None
         return reduce(DataFrame.unionAll, (p.select("doc_num") for p in parts)).distinct()
 
-    def _write(self, rows: DataFrame, segment: int) -> int:
-        base = F.lit(segment << SHIFT)
+    def _write(self, rows: DataFrame, segment: str) -> dict[str, list[int]]:
+        """Writes a segment; documents with the field, tokens and all documents, by field."""
+        base = F.lit(number(segment) << SHIFT)
         index = Index.of(rows, self.id_col, self.fields, doc_num=F.monotonically_increasing_id())
         texts = [f for f in index.fields.values() if f.kind in (TEXT, KEYWORD) and f.name != "_id"]
         tok = {f"__tok_{f.name}": F.transform(index.tokens(f.name), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"))) for f in texts}
@@ -243,14 +311,18 @@ class IndexWriter:
         stored = Index(docs, index.fields, stored_tokens=tuple(f.name for f in texts))
         names = [f.name for f in index.fields.values() if f.kind in (TEXT, KEYWORD, COMPOSITE)]
         parts = [stored.all_postings(n) for n in names]
-        rows = reduce(DataFrame.unionAll, parts)
-        # Range partitions by (field, term): a term's postings lie in few files, sorted.
-        rows.repartitionByRange("field", "term").sortWithinPartitions("field", "term", "doc_num").write.mode(
-            "error"
-        ).partitionBy("field").parquet(postings_path)
-        return docs.count()
+        rows = reduce(DataFrame.unionAll, parts).select(*POSTING, "at")
+        # Range partitions: a term's postings lie in few files, sorted, and a common term's in several.
+        by = ("field", "term", "doc_num")
+        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("error").partitionBy("field").parquet(postings_path)
+        found = stored.field_stats(names).collect()  # a row a field
+        return {r.field: [r.doc_count, r.sum_ttf, r.total_docs] for r in found}
 
     def _commit(self, m: Manifest) -> Manifest:
+        first = min(map(number, m.segments), default=m.next_segment)
+        m = replace(m, deleted=tuple(d for d in m.deleted if before(d) > first))
+        if not self._mine():
+            raise RuntimeError("another writer has taken the index over")
         self.files.create(f"{self.path}/manifest/{m.epoch:012d}.json", m.text())
         self.manifest = m
         if self.on_event:
@@ -259,19 +331,27 @@ class IndexWriter:
         return m
 
     def vacuum(self) -> None:
-        """Manifests beyond the newest `keep` go, and segments that none of those kept names."""
+        """Manifests beyond the newest `keep` go at once, folders that none of those kept names
+        `retain` seconds after they are first found so."""
         found = manifests(self.spark, self.path)
         kept = found[: self.keep]
-        used = {s for m in kept for s in m.segments}
         for m in found[self.keep :]:
             self.files.delete(f"{self.path}/manifest/{m.epoch:012d}.json")
-            for s in m.segments:
-                if s not in used:
-                    for part in ("docs", "postings"):
-                        self.files.delete(f"{self.path}/{part}/segment={s}")
+        used = {f"segment={s}" for m in kept for s in m.segments} | {f"epoch={d}" for m in kept for d in m.deleted}
+        marked = set(self.files.names(f"{self.path}/trash"))
+        for part in ("docs", "postings", "deleted"):
+            for folder in self.files.names(f"{self.path}/{part}"):
+                mark = f"{self.path}/trash/{part}~{folder}"
+                if folder in used:
+                    continue
+                if f"{part}~{folder}" not in marked:
+                    self.files.create(mark, "")
+                if self.files.age(mark) >= self.retain:
+                    self.files.delete(f"{self.path}/{part}/{folder}")
+                    self.files.delete(mark)
 
     def live_sizes(self) -> dict[int, int]:
-        """Live documents by segment."""
+        """Live documents by segment number."""
         rows = self.reader().index().docs.groupBy(F.shiftright("doc_num", SHIFT).alias("s")).count().collect()
         return {r.s: r["count"] for r in rows}
 
@@ -280,20 +360,20 @@ class IndexWriter:
         m = self.manifest
         live = self.live_sizes() if m.segments else {}
         if segments is None:
-            sizes = [merge_plan.Segment(s, m.live.get(str(s), 0), live.get(s, 0)) for s in m.segments]
+            sizes = [merge_plan.Segment(s, m.live.get(s, 0), live.get(number(s), 0)) for s in m.segments]
             tasks = [[s.id for s in t] for t in merge_plan.plan(sizes, self.plan)]
         else:
             tasks = [list(segments)]
         for task in tasks:
+            self._renew()
             m = self.manifest
             view = IndexReader(self.spark, self.path, self.fields, Manifest(m.epoch, tuple(task), m.deleted))
             docs = view.index().docs
             columns = [c for c in docs.columns if not c.startswith(("__tok_", "__len_")) and c not in ("doc_num", "_id")]
-            n = m.next_segment
-            size = self._write(docs.select(*columns), n)
-            left = [s for s in m.segments if s not in task]
-            sizes = {k: v for k, v in m.live.items() if int(k) in left} | ({str(n): size} if size else {})
-            self._commit(Manifest(m.epoch + 1, (*left, n) if size else tuple(left), m.deleted, sizes, n + 1, m.batch_ids))
+            left = tuple(s for s in m.segments if s not in task)
+            kept = {"live": {s: m.live[s] for s in left}, "stats": {s: m.stats[s] for s in left}}
+            m = replace(m, epoch=m.epoch + 1, segments=left, **kept)
+            self._commit(self._added(m, docs.select(*(f"`{c}`" for c in columns))))
         return self.manifest
 
 

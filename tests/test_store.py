@@ -120,3 +120,59 @@ def test_merge_plans():
             n = sum(s.live for s in t)
             segments = [s for s in segments if s not in t] + [M.Segment(10_000 + i, n, n)]
     assert len(segments) <= M.budget(3000, 10, o) + 3
+
+
+def test_a_killed_batch_can_be_written_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "ix")
+    w = IndexWriter(spark, path, FIELDS, "id")
+    w.batch(insert=rows(spark, ("a", "cats", "x", 1.0)))
+    with monkeypatch.context() as killed:
+        killed.setattr(IndexWriter, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            w.batch(update=rows(spark, ("a", "dogs", "x", 1.0)), batch_id=1)
+    with pytest.raises(FileExistsError):
+        IndexWriter(spark, path, FIELDS, "id")
+    (tmp_path / "ix" / "lock").write_text('{"owner": "gone", "lease": 0}')
+    (tmp_path / "ix" / ".lock.crc").unlink(missing_ok=True)
+    with pytest.raises(RuntimeError):
+        w.batch(insert=rows(spark, ("z", "cats", "x", 1.0)))
+    with IndexWriter(spark, path, FIELDS, "id", retain=0) as second:
+        w.close()  # not its lock any more
+        second.batch(update=rows(spark, ("a", "dogs", "x", 1.0)), batch_id=1)
+        assert hits(second.reader(), BODY) == [] and hits(second.reader(), Q.MatchAll()) == ["a"]
+        named = {f"segment={s}" for s in second.manifest.segments}
+        assert set(second.files.names(f"{path}/docs")) == named  # what the killed batch left is gone
+
+
+def test_readers_survive_merges_and_deletions_end(spark, tmp_path):
+    path = str(tmp_path / "ix")
+    with IndexWriter(spark, path, FIELDS, "id") as w:
+        w.batch(insert=rows(spark, ("a", "cats", "x", 1.0), ("b", "cats", "x", 1.0)))
+        w.batch(update=rows(spark, ("b", "dogs", "x", 1.0)))
+        reader = w.reader()
+        index = reader.index()
+        w.merge(w.manifest.segments)
+        assert hits(reader, BODY) == ["a"] and index.docs.count() == 2
+        assert w.manifest.deleted == () and w.reader().index().stats is not None
+        assert hits(w.reader(), BODY) == ["a"]
+        stats = w.reader().index().stats.where("field = 'body'").first()
+        assert (stats.doc_count, stats.sum_ttf, stats.total_docs) == (2, 2, 2)
+        w.retain = 0
+        w.vacuum()
+        assert w.files.names(f"{path}/deleted") == [] and len(w.files.names(f"{path}/postings")) == 1
+
+
+def test_phrases_need_no_documents(spark, tmp_path):
+    build_offline(spark, str(tmp_path / "ix"), rows(spark, ("a", "big cats here", "x", 1.0), ("b", "cats big", "x", 1.0)), FIELDS, "id")
+    ix = IndexReader.open(spark, str(tmp_path / "ix"), FIELDS).index()
+    found = matches(ix, Q.MatchPhrase("big cats", "body", "en"), scored=False)
+    assert "__tok_body" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
+
+
+def test_required_ranges_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "cats", 1.0), (2, "dogs", 2.0)], "id int, body string, n double").write.parquet(str(tmp_path / "t"))
+    ix = Index.of(spark.read.parquet(str(tmp_path / "t")), "id", (FieldSpec("body", TEXT, "simple"), FieldSpec("n", NUMERIC)))
+    low = Q.NumericRange(1.5, 9.0, "n")
+    for q in (low, Q.Boolean(must=(low, Q.Term("dogs", "body")))):
+        found = matches(ix, q)
+        assert "GreaterThanOrEqual(n,1.5)" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
