@@ -3,19 +3,25 @@
 1. Every document becomes a set of 64-bit hashes of its word n-grams (all of them), computed on
    the bytes of a batch at once: a 128-bit sum tells equal sets, a bitmap of four to eight bits an
    n-gram is its signature, and `bands` keys of `rows` MinHashes each name the groups in which
-   partners are looked for. A pair of similarity s shares no key with probability
-   (1 - s^rows)^bands, 0.8 % at the default threshold 0.5 and 0.02 % at 0.6.
+   most partners are found. A pair of similarity s shares no such key with probability
+   (1 - s^rows)^bands, 0.8 % at the default threshold 0.5: step 3 finds these.
 2. Sets that share a key are compared by size and bitmap before anything is linked: popcount(a xor
    b) bounds the overlap from above by (|a| + |b| - popcount) / 2, so what is no pair falls away
    here, and text that many documents have in common (a footer) links nothing by itself. What
    could be a pair is linked; connected sets form a block.
-3. Sets of a block are intersected exactly, as sorted arrays, wherever their bitmaps allow it.
-
-In 2 and 3 a group of more than `tile` sets (or `tile_grams` n-grams) is cut into size bands, and
+3. Every n-gram is counted over all sets. Only those that several sets have can be shared, so a set
+   has partners only if these are `t` of it; of its n of them, rarest first, the first n - t * size + 1
+   are keys too: two sets at or above the threshold t have such a key in common, always (the prefix
+   filter). Keys within one block have done their work; the others' groups are compared and linked
+   as in 2. No pair is missed, whatever `bands` and `rows`: they only save work.
+4. Sets of a block are intersected exactly, as sorted arrays, wherever their bitmaps allow it.
+
+In 2 to 4 a group of more than `tile` sets (or `tile_grams` n-grams) is cut into size bands, and
 these by hash into slots of about that many sets; two slots form a tile if their sizes allow the
 threshold. A tile is the unit of work, many of them go into one task, and a tile hands on its links
 as a forest with counts, never all pairs. No pair, partner or candidate is capped.
-Texts are shuffled once, to those of their rows that are in blocks; n-grams of blocks once a tile.
+Texts are shuffled once, to those of their rows that are in blocks; n-grams of blocks once a tile;
+of all n-grams 32 bits once to be counted, and those that several sets have once more.
 
 Equal sets go through this once, as their least id.
 
@@ -25,7 +31,7 @@ fewer than n words has its word sequence as its only n-gram. Defined results: nu
 texts without words, match nothing (not even each other); null ids are dropped; rows that repeat
 an id are one document with all its rows' texts: it belongs to one class, its links are those of
 each distinct text, and it never pairs with itself; other columns are ignored, whatever their
-names; an empty table gives no rows. The driver gathers nothing but a count and a sum a round.
+names; an empty table gives no rows. The driver gathers nothing but a sum, and a count and a sum a round.
 """
 
 from __future__ import annotations
@@ -325,6 +331,138 @@ def signatures(texts: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return texts.mapInArrow(run, SIGNATURE)
 
 
+COUNTED = 2_500_000  # n-grams a bucket, in which they are counted at once
+
+
+def rows_by(group: np.ndarray, sets: np.ndarray, size: np.ndarray, grams: np.ndarray, *more: np.ndarray):
+    """Of n-grams, one a row of the arrays, by group: the groups that occur, and for each, as binaries,
+    its sets one after another (hash, size, how many of the n-grams are its own), the n-grams' low 32
+    bits, and what `more` says of them. `sets` and `size` are given for each n-gram, and a set's
+    n-grams lie together."""
+    order = np.argsort(group, kind="stable")
+    group, sets = group[order], sets[order]
+    new = np.ones(len(group), bool)
+    new[1:] = group[1:] != group[:-1]
+    at = np.flatnonzero(new)
+    new[1:] |= sets[1:] != sets[:-1]
+    head = np.flatnonzero(new)
+    each = np.diff(np.append(at, len(group)))
+    heads = np.diff(np.append(np.searchsorted(head, at), len(head)))
+    columns = [(sets[head], heads), (size[order][head], heads), (np.diff(np.append(head, len(group))), heads)]
+    columns += [(x[order], each) for x in (grams, *more)]
+    kinds = ("<i8", "<u4", "<u4", "<u4", *("u1" for _ in more))
+    made = [binaries(x.astype(k).view(np.uint8), n * np.dtype(k).itemsize) for (x, n), k in zip(columns, kinds)]
+    return group[at], made
+
+
+def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows sorted by their first column, in lists of all rows of one value."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            if a == z:
+                continue
+            if held and held[0].column(0)[0].as_py() != at[a]:
+                yield held
+                held = []
+            held.append(batch.slice(a, z - a))
+    if held:
+        yield held
+
+
+def together(parts: list[pa.RecordBatch], column: str, kind: str) -> np.ndarray:
+    """The values of a binary column, all rows' one after another."""
+    return np.concatenate([buffers_of(pa.chunked_array([p.column(column)]))[0].view(kind) for p in parts])
+
+
+def counted_grams(texts: DataFrame, n: int, buckets: int) -> DataFrame:
+    """By `part`, a hash of the set: the n-grams that several sets have, with how common they are."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def piece() -> pa.RecordBatch:
+            grams, count, w1 = (np.concatenate(x) for x in zip(*held))
+            bucket = (grams >> np.uint64(32)) % np.uint64(buckets)
+            bucket = bucket.astype(np.uint16 if buckets < 1 << 16 else np.int64)
+            group, made = rows_by(bucket, np.repeat(w1, count), np.repeat(count, count), grams & np.uint64(0xFFFFFFFF))
+            return pa.RecordBatch.from_arrays([pa.array(group.astype(np.int32)), *made], names=["bucket", "sets", "size", "many", "grams"])
+
+        for batch in slices(batches):
+            raw, offsets, _ = utf8(batch.column(1))
+            grams, count = gram_sets(raw, offsets, n)
+            count = count[count > 0]
+            if len(count):
+                held.append((grams, count, set_hashes(grams, count)[0]))
+            if sum(len(x[0]) for x in held) >= 1 << 20:
+                yield piece()
+                held.clear()
+        if held:
+            yield piece()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in by_group(batches):
+            sets, size, many = (together(parts, c, k) for c, k in (("sets", "<i8"), ("size", "<u4"), ("many", "<u4")))
+            grams = together(parts, "grams", "<u4")
+            # Copies of a set have the same n-grams here: one of them counts.
+            _, first = np.unique(sets, return_index=True)
+            kept = np.zeros(len(sets), bool)
+            kept[first] = True
+            grams = grams[np.repeat(kept, many)]
+            sets, size, many = sets[kept], size[kept], many[kept]
+            both = grams.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(sets), dtype=np.uint64), many)
+            both.sort()
+            grams, of = (both >> np.uint64(32)).astype(np.uint32), both.astype(np.uint32)
+            start = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+            times = np.diff(np.append(start, len(grams)))
+            common = np.repeat(np.minimum(8 * np.log2(times), 255).astype(np.uint8), times)
+            several = np.repeat(times > 1, times)
+            grams, of, common = grams[several], of[several], common[several]
+            if not len(grams):
+                continue
+            order = np.argsort(of, kind="stable")
+            grams, of, common = grams[order], of[order], common[order]
+            part = (sets.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+            group, made = rows_by(part[of], sets[of], size[of], grams, common)
+            bucket = np.full(len(group), parts[0].column(0)[0].as_py(), np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(group), pa.array(bucket), *made], names=["part", "bucket", "sets", "size", "many", "grams", "common"]
+            )
+
+    kinds = "sets binary, size binary, many binary, grams binary"
+    dealt = texts.mapInArrow(deal, f"bucket int, {kinds}").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, f"part int, bucket int, {kinds}, common binary")
+
+
+def prefix_keys(texts: DataFrame, n: int, t: float, buckets: int) -> DataFrame:
+    """(w1, key): sets of a similarity of at least t have at least one key in common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in by_group(batches):
+            sets, size, many = (together(parts, c, k) for c, k in (("sets", "<i8"), ("size", "<u4"), ("many", "<u4")))
+            grams, common = together(parts, "grams", "<u4"), together(parts, "common", "u1")
+            rows = [buffers_of(pa.chunked_array([p.column("grams")]))[1] for p in parts]
+            bucket = np.concatenate([np.repeat(p.column("bucket").to_numpy(), np.diff(r) // 4) for p, r in zip(parts, rows)])
+            w1, first, which = np.unique(sets, return_index=True, return_inverse=True)
+            have = np.bincount(which, many, len(w1)).astype(np.int64)
+            need = np.maximum(np.ceil(t * size[first] * (1 - 1e-12) - 1e-9).astype(np.int64), 1)
+            of = np.repeat(which, many)
+            able = (have >= need)[of]
+            of, common = of[able], common[able]
+            key = bucket[able].astype(np.int64) << 32 | grams[able]
+            order = np.lexsort((key, common, of))
+            of, key = of[order], key[order]
+            each = np.bincount(of, minlength=len(w1))
+            taken = runs(each) < (have - need + 1)[of]
+            taken[1:] &= (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(w1[of[taken]]), pa.array(key[taken])], names=["w1", "key"])
+
+    counted = counted_grams(texts, n, buckets).repartition(buckets, "part").sortWithinPartitions("part")
+    return counted.mapInArrow(run, "w1 long, key long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for the nodes of undirected edges (a, b): root is the least id reached.
 
@@ -482,22 +620,36 @@ class Join:
         )
         # A stored table's row ids stay as they are, so a short one names a set from here on.
         reps = stored(reps.withColumn("rid", F.monotonically_increasing_id()))
+        self.reps, self.tile, self.tile_grams = reps, tile, tile_grams
         # Keys that several sets have; nearly all have one and fall away.
         keyed = reps.select("rid", F.explode("keys").alias("key"))
         several = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        blocks = stored(components(self.links(keyed, several)))
+        # What those keys missed: keys of the prefix filter that sets of several blocks have.
+        total = sig.agg(F.sum("size")).first()[0] or 0
+        rare = prefix_keys(self.texts, n, threshold, max(1, -(-total // COUNTED)))
+        nodes = reps.join(blocks, reps["doc_id"] == blocks["node"], "left")
+        nodes = nodes.select("w1", "rid", F.coalesce("root", "doc_id").alias("root"))
+        keyed = stored(rare.join(nodes, "w1").select("rid", "key", "root"))
+        several = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+        missed = self.links(keyed.select("rid", "key"), several)
+        blocks = components(blocks.selectExpr("node as a", "root as b").unionAll(missed))
+        roots = blocks.select(F.col("root").alias("node"), "root")
+        blocks = blocks.unionAll(roots).distinct().select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
+        members = stored(reps.select("doc_id", "w1", "w2", "size", "copies").join(blocks, "doc_id"))
+        self.tiles = by_tile(self.with_grams(in_tiles(members, "block", threshold, tile, tile_grams)), "block", "copies", "grams")
+
+    def links(self, keyed: DataFrame, several: DataFrame) -> DataFrame:
+        """Edges that connect the sets with one of the keys of `several` in common that could be pairs."""
         records = stored(keyed.join(several, "key"))
         # Of keys with the same sets one is enough.
         groups = records.groupBy("key").agg(
             F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("y")
         )
         live = groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-        records = stored(records.join(live, "key").join(reps.select("rid", "doc_id", "w1", "w2", "size"), "rid"))
-        records = in_tiles(records, "key", threshold, tile, tile_grams).join(reps.select("rid", "bitmap"), "rid")
-        blocks = components(linked(by_tile(records, "key", "bitmap"), threshold))
-        roots = blocks.select(F.col("root").alias("node"), "root")
-        blocks = blocks.unionAll(roots).distinct().select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
-        members = stored(reps.select("doc_id", "w1", "w2", "size", "copies").join(blocks, "doc_id"))
-        self.tiles = by_tile(self.with_grams(in_tiles(members, "block", threshold, tile, tile_grams)), "block", "copies", "grams")
+        records = stored(records.join(live, "key").join(self.reps.select("rid", "doc_id", "w1", "w2", "size"), "rid"))
+        records = in_tiles(records, "key", self.t, self.tile, self.tile_grams).join(self.reps.select("rid", "bitmap"), "rid")
+        return linked(by_tile(records, "key", "bitmap"), self.t)
 
     def with_grams(self, members: DataFrame) -> DataFrame:
         """members with `grams`, their sorted sets as binary, from the texts of their ids."""

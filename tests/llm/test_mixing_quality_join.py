@@ -307,6 +307,28 @@ def test_pairs_and_membership_give_all_links(spark, copies):
     assert got == pytest.approx({k: v for k, v in full.items() if all(least[sets[x]] == x for x in k) or (v == 1 and least[sets[k[1]]] == k[0])})
 
 
+def test_pairs_without_a_minhash_key_are_found(spark):
+    rows = []
+    for k in range(1500):  # 24 n-grams of which 16 are shared: a similarity of exactly a half
+        a = [f"a{k}x{i}" for i in range(26)]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[:18] + [f"b{k}x{i}" for i in range(8)]))]
+    grams, count = J.gram_sets(*J.utf8(pa.array([x for _, x in rows]))[:2], 3)
+    keys = J.minhash_keys(grams, count, 36, 3)
+    missed = [k for k in range(1500) if not (keys[2 * k] == keys[2 * k + 1]).any()]
+    assert len(missed) > 3
+    rows = [rows[i] for k in missed for i in (2 * k, 2 * k + 1)]
+    got = J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {i: (i // 2 * 2, 1) for i, _ in rows}
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.8])
+def test_all_pairs_are_found_whatever_the_keys(spark, copies, monkeypatch, t):
+    monkeypatch.setattr(J, "COUNTED", 500)  # several buckets
+    df = spark.createDataFrame(copies, "doc_id long, text string")
+    got = J.jaccard_classes(df, threshold=t, bands=1, rows=9).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == classes_of(copies, t)
+
+
 def test_tiles_cover_every_pair_once(spark):
     rng = random.Random(5)
     rows = [(rng.choice((1, 1, 1, 2)), i, i, i, rng.randint(1, 400)) for i in range(600)]
