@@ -12,8 +12,9 @@ of them in common, then fewest differences, then by name) and one a block withou
 license is null and whose differences are those of the best-ranked template; documents without
 either give none, nulls and empty texts included. Equal reductions rank by template name. Ids may
 be null or repeat; other columns are ignored; an empty table gives no rows. Blocks of any length
-are compressed whole; the words of an unconfirmed block much longer than a template are compared
-over the stretch that shares most words with it. One narrow pass; only documents with a
+are compressed whole; a template saves of a block the most that it saves of any of the
+overlapping stretches of 2,048 bytes that make it up (a shorter block is one), so that a rank does
+not depend on what else is in a long line. All words of an unconfirmed block are compared. One narrow pass; only documents with a
 candidate reach Python.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from difflib import Match, SequenceMatcher
 from functools import cache
 
 import numpy as np
@@ -205,10 +206,36 @@ def blocks(lines: list[str], hit: list[bool]) -> Iterator[tuple[int, int]]:
         at = end + 1
 
 
+class Matcher(SequenceMatcher):
+    """SequenceMatcher without junk; the places of each word in b are looked at all at once, so that
+    a long b takes time in proportion to it."""
+
+    def __init__(self, a: list[str], b: list[str]):
+        super().__init__(None, a, b, autojunk=False)
+        self.at = {w: np.array(self.b2j.get(w, ()), np.int64) for w in set(a)}
+        self.run = np.zeros(len(b) + 1, np.int64)  # of the equal words that end before each place of b
+
+    def find_longest_match(self, alo: int = 0, ahi: int | None = None, blo: int = 0, bhi: int | None = None) -> Match:
+        """The longest; of such the first in a, and of these the first in b."""
+        ahi, bhi = len(self.a) if ahi is None else ahi, len(self.b) if bhi is None else bhi
+        best, before = Match(alo, blo, 0), np.zeros(0, np.int64)
+        for i in range(alo, ahi):
+            here = self.at[self.a[i]]
+            here = here[np.searchsorted(here, blo) : np.searchsorted(here, bhi)]
+            size = self.run[here] + 1
+            self.run[before + 1] = 0
+            self.run[here + 1] = size
+            before = here
+            if len(here) and (most := int(size.max())) > best.size:
+                best = Match(i - most + 1, int(here[size.argmax()]) - most + 1, most)
+        self.run[before + 1] = 0
+        return best
+
+
 def differences(template: list[str], block: list[str]) -> tuple[list[str], list[str]]:
     """Template words that the block lacks, and words that it has between those it shares."""
     missing, added, matched = [], [], False
-    codes = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
+    codes = Matcher(template, block).get_opcodes()
     last = max((i for i, c in enumerate(codes) if c[0] == "equal"), default=-1)
     for i, (kind, a, b, c, d) in enumerate(codes):
         matched |= kind == "equal"
@@ -219,18 +246,6 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
     return missing, added
 
 
-def densest(template: list[str], block: list[str]) -> list[str]:
-    """Of a block much longer than the template, the stretch with most of its words (rare
-    ones in the block weigh more; the first such), so that comparing stays linear in the block."""
-    size = 2 * len(template) + 20
-    if len(block) <= 2 * size:
-        return block
-    known, often = set(template), Counter(block)
-    total = np.concatenate(([0], np.cumsum([1 / often[w] if w in known else 0.0 for w in block])))
-    at = int(np.argmax(total[size:] - total[:-size]))
-    return block[at : at + size]
-
-
 def aligned(template: list[str], block: list[str]) -> tuple[int, int, list[str], list[str]] | None:
     """The stretch of a block that differs least from the template: (start, end, missing, added)."""
     parts = SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks()[:-1]
@@ -288,6 +303,18 @@ def near(template: list[str], have: list[str], less: int, more: int) -> Iterator
         k = int(np.searchsorted(starts, max(done, lo + span + 1)))
 
 
+# With a short dictionary zstandard has small tables for any block: beyond this many bytes they
+# fill up, the less the longer the template, whatever the words.
+STRETCH, STEP = 2048, 512
+
+
+def stretches(data: bytes) -> Iterator[bytes]:
+    """Of STRETCH bytes, one every STEP and one at the end; they overlap and leave nothing out."""
+    last = max(0, len(data) - STRETCH)
+    for at in (*range(0, last, STEP), last):
+        yield data[at : at + STRETCH]
+
+
 class Scanner:
     def __init__(self, templates, level: int):
         import zstandard as z
@@ -307,12 +334,14 @@ class Scanner:
         return " ".join(words(text)).encode()
 
     def ranked(self, block: str) -> tuple[int, list[tuple]]:
-        """Compressed size alone, and (change, name, template words) of all templates, best first."""
+        """Compressed size alone, and (change of the stretch that changes most, name, template words) of
+        all templates, best first."""
         if (found := self.seen.get(block)) is None:
             data = self.form(block)
             alone = len(self.alone.compress(data))
+            parts = [(x, len(self.alone.compress(x))) for x in stretches(data)]
             found = alone, sorted(
-                (len(c.compress(data)) - alone, t[0], t[2]) for t, c in zip(self.templates, self.with_template)
+                (min(len(c.compress(x)) - n for x, n in parts), t[0], t[2]) for t, c in zip(self.templates, self.with_template)
             )
             if len(block) < 1000 and len(self.seen) < 10_000:
                 self.seen[block] = found
@@ -366,7 +395,7 @@ class Scanner:
             block = "\n".join(lines[first : last + 1])
             alone, order = self.ranked(block)
             change, name, template = order[0]
-            missing, added = differences(template, densest(template, words(block)))
+            missing, added = differences(template, words(block))
             rows.append((first, block, name, None, alone, -change, 1, missing, added))
         return iter(sorted(rows, key=lambda r: r[0]))
 

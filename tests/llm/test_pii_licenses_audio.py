@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import textwrap
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
@@ -346,6 +347,47 @@ def test_long_lines_are_scanned_whole(spark):
     assert got[0].license == "ISC" and got[0].missing == got[0].added == [] and got[1].license is None
 
 
+def test_unconfirmed_blocks_of_any_length_are_compared_whole():
+    rng = random.Random(15)
+    words = licenses.words(MIT_FILE) + [f"w{i}" for i in range(40)]
+    scanner = licenses.Scanner(licenses.default_templates(), 3)
+    made = {n: licenses.words(t) for n, _, t in licenses.default_templates()}
+    for n in (5, 60, 150, 500, 4000):  # below and above all that templates are long
+        text = "copyright released under " + " ".join(rng.choices(words, k=n)) + " license"
+        ((_, block, name, lic, *_, missing, added),) = scanner.scan(text, 0.1, 0.1)
+        assert lic is None and block == text
+        have, missed, more = licenses.words(text), [], []
+        codes = SequenceMatcher(None, made[name], have, autojunk=False).get_opcodes()
+        same = [k for k, c in enumerate(codes) if c[0] == "equal"]
+        for k, (kind, a, b, c, d) in enumerate(codes):
+            if kind != "equal":
+                missed += made[name][a:b]
+                more += have[c:d] if same[0] < k < same[-1] else []
+        assert (missing, added) == (missed, more)
+
+
+def test_ranks_do_not_depend_on_the_length_of_a_line():
+    rng = random.Random(17)
+    scanner = licenses.Scanner(licenses.default_templates(), 3)
+    made = {n: t for n, _, t in licenses.default_templates()}
+    vocab = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(3000)]
+    for name, spdx in (("ISC/grant", "ISC"), ("GPL-3.0/header", "GPL-3.0"), ("MIT/grant", "MIT")):
+        unlike = made[name].split()
+        for k in range(5, len(unlike), 7):  # too many to be confirmed
+            unlike[k] = rng.choice(vocab)
+        for n in (0, 500, 3000, 10_000):
+            filler = " ".join(rng.choices(vocab, k=n))
+            ((*_, template, lic, _, saved, rank, _, _),) = scanner.scan(f"{filler} {' '.join(unlike)} copyright {filler}", 0.1, 0.1)
+            assert lic is None and template.split("/")[0] == spdx and saved > 40 and rank == 1
+
+
+def test_longest_matches_as_difflib_finds_them():
+    rng = random.Random(16)
+    for _ in range(300):
+        a, b = (rng.choices("abcdef", k=rng.randrange(k)) for k in (12, 60))
+        assert licenses.Matcher(a, b).get_opcodes() == SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
 def test_wrapped_grants_are_confirmed(spark):
     """As licence files have them: 76 columns, blank lines between clauses, and comment marks."""
     made = {n: t for n, _, t in licenses.default_templates()}
