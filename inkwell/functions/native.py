@@ -5,8 +5,10 @@ Tokens are array<struct<term:string,pos:int>>; a plain term array is array<strin
 
 from __future__ import annotations
 
+from array import array
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from . import languages
 from . import tokens as T
 
 TOKENS = "array<struct<term:string,pos:int>>"
+COUNTS = "array<struct<term:string,n:bigint>>"
 GAP = 100
 
 
@@ -62,7 +65,10 @@ def truncate(terms: Column, n: int) -> Column:
 
 def ngrams(terms: Column, least: int, most: int) -> Column:
     def of(t: Column) -> Column:
-        start = F.sequence(F.lit(1), F.greatest(F.char_length(t), F.lit(1)))
+        start = F.sequence(F.lit(1), F.greatest(F.char_length(t) - (least - 1), F.lit(1)))
+        if least == most:
+            cut = F.transform(start, lambda i: F.substring(t, i, F.lit(least)))
+            return F.when(F.char_length(t) >= least, cut).otherwise(F.array().cast("array<string>"))
         size = F.sequence(F.lit(least), F.lit(most))
         cut = F.transform(start, lambda i: F.transform(size, lambda n: F.when(i + n - 1 <= F.char_length(t), F.substr(t, i, n))))
         return F.filter(F.flatten(cut), lambda g: g.isNotNull())
@@ -92,7 +98,7 @@ def shingles(terms: Column, n: int, sep: str = " ") -> Column:
 
     def of(a: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(a) - n + 1)
-        return F.when(F.size(a) >= n, F.transform(starts, lambda i: F.array_join(F.slice(a, i, n), sep)))
+        return F.when(F.size(a) >= n, F.transform(starts, lambda i: F.concat_ws(sep, *(F.get(a, i + (k - 1)) for k in range(n)))))
 
     return bound(terms, of)
 
@@ -105,6 +111,27 @@ def unique(terms: Column) -> Column:
     return F.array_distinct(terms)
 
 
+# --- counts --------------------------------------------------------------------------------
+
+
+def runs(ordered: Column, key, make) -> Column:
+    """make(array, start, size) of every run of elements with the same key in an ordered array."""
+
+    def of(a: Column) -> Column:
+        begins = lambda i: (i == 0) | ~key(F.get(a, i)).eqNullSafe(key(F.get(a, i - 1)))
+        starts = F.filter(F.sequence(F.lit(0), F.size(a) - 1), begins)
+        each = lambda s: F.transform(s, lambda i, k: make(a, i, F.coalesce(F.get(s, k + 1), F.size(a)) - i))
+        return F.when(F.size(a) > 0, bound(starts, each))
+
+    return bound(ordered, of)
+
+
+def counted(terms: Column) -> Column:
+    """Of a term array each distinct term and its occurrences, by a sort in the row."""
+    one = lambda a, i, n: F.struct(F.get(a, i).alias("term"), n.cast("long").alias("n"))
+    return runs(F.sort_array(terms), lambda t: t, one)
+
+
 # --- tokens --------------------------------------------------------------------------------
 
 
@@ -124,58 +151,95 @@ def joined(values: Column) -> Column:
     return F.aggregate(values, start, add)
 
 
-def _lists(rows: list[list[tuple[str, int]] | None]) -> pa.Array:
-    """Token lists as Arrow, built flat."""
-    offsets = [0]
-    for r in rows:
-        offsets.append(offsets[-1] + len(r or ()))
-    flat = [x for r in rows if r for x in r]
-    values = pa.StructArray.from_arrays(
-        [pa.array([t for t, _ in flat], pa.string()), pa.array([p for _, p in flat], pa.int32())], names=["term", "pos"]
-    )
-    mask = pa.array([r is None for r in rows], pa.bool_())
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=mask)
+class _Lists:
+    """Lists of terms with a number each, as Arrow: what is in Python objects is bounded, however
+    many rows there are."""
+
+    FLUSH = 1 << 18
+
+    def __init__(self, name: str, kind: pa.DataType):
+        self.name, self.kind, self.parts = name, kind, []
+        self._begin()
+
+    def _begin(self) -> None:
+        self.terms, self.numbers, self.ends, self.none = [], array("q"), [0], []
+
+    def end(self, null: bool = False) -> None:
+        """Ends a row."""
+        self.ends.append(len(self.terms))
+        self.none.append(null)
+        if len(self.terms) >= self.FLUSH:
+            self._flush()
 
+    def _flush(self) -> None:
+        numbers = pa.array(np.frombuffer(self.numbers, np.int64) if self.numbers else [], pa.int64()).cast(self.kind)
+        values = pa.StructArray.from_arrays([pa.array(self.terms, pa.string()), numbers], names=["term", self.name])
+        self.parts.append(pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), values, mask=pa.array(self.none, pa.bool_())))
+        self._begin()
 
-def analysed(name: str):
-    """An Arrow-batched function from text to tokens, for analysers that need Python."""
+    def all(self) -> pa.Array:
+        self._flush()
+        return pa.concat_arrays(self.parts)
+
+
+def _add(out: _Lists, chunks: T.ByChunk, text: str, start: int, last: int = 0) -> int:
+    """Adds a text's tokens, which begin after a position, and returns the last one's (`last` without any)."""
+    for c in chunks.chunks(text):
+        terms, at, moved = chunks.of(c)
+        if terms:
+            out.terms += terms
+            out.numbers.extend([start + p for p in at])
+            last = start + at[-1]
+        start += moved
+    return last
+
+
+def analysed(name: str, many: bool = False):
+    """An Arrow-batched function from text (from an array of texts if many) to tokens, for analysers that need Python."""
 
     @F.arrow_udf(TOKENS)
-    def run(text: pa.Array) -> pa.Array:
-        analyze = languages.analyzer(name)
-        out = []
-        for s in text.to_pylist():
-            found = None if s is None else analyze(s)
-            out.append(None if found is None else list(zip([t[0] for t in found], T.positions(found))))
-        return _lists(out)
+    def run(values: pa.Array) -> pa.Array:
+        chunks, out = languages.by_chunk(name), _Lists("pos", pa.int32())
+        for v in values:
+            s = v.as_py()
+            if many:
+                last = -GAP
+                for one in s or ():
+                    if one is not None:
+                        last = _add(out, chunks, one, max(0, last + GAP), last)
+            elif s is not None:
+                _add(out, chunks, s, 0)
+            out.end(s is None and not many)
+        return out.all()
 
     return run.asNondeterministic()  # so that it is never inlined into a lambda
 
 
+def counted_words(text: Column, analyzer: str) -> Column:
+    """COUNTS of a text column by an analyser that needs Python."""
+
+    @F.arrow_udf(COUNTS)
+    def run(values: pa.Array) -> pa.Array:
+        chunks, out = languages.by_chunk(analyzer), _Lists("n", pa.int64())
+        for v in values:
+            s = v.as_py()
+            if s is not None:
+                found = chunks.counts(s)
+                out.terms += found
+                out.numbers.extend(found.values())
+            out.end(s is None)
+        return out.all()
+
+    return run(text)
+
+
 def tokens(text: Column, analyzer: str, many: bool = False) -> Column:
     """Tokens of a text column (of an array of texts if many), native where the analyser is."""
     if analyzer in TERMS:
         make = TERMS[analyzer]
         one = lambda t: numbered(make(t))
         return joined(F.transform(F.filter(text, lambda v: v.isNotNull()), one)) if many else one(text)
-    if not many:
-        return analysed(analyzer)(text)
-
-    @F.arrow_udf(TOKENS)
-    def run(values: pa.Array) -> pa.Array:
-        analyze = languages.analyzer(analyzer)
-        out = []
-        for texts in values.to_pylist():
-            row, last = [], -GAP
-            for s in texts or ():
-                if s is not None:
-                    found = analyze(s)
-                    row += zip([t[0] for t in found], T.positions(found, max(0, last + GAP)))
-                    last = row[-1][1] if row else -GAP
-            out.append(row)
-        return _lists(out)
-
-    return run.asNondeterministic()(text)
+    return analysed(analyzer, many)(text)
 
 
 def any_of(conditions: list[Column]) -> Column:

@@ -578,8 +578,31 @@ def postings_scan(spark, d):
 # --- analysis ------------------------------------------------------------------------------
 
 
-def term_counts(docs: DataFrame, terms) -> DataFrame:
-    return docs.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+FEW = 100_000
+
+
+def apart(docs: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key is theirs alone, and the others if there are any: one job over the keys."""
+    repeated = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("__repeated"))
+    n = repeated.limit(FEW + 1).count()
+    if not n:
+        return docs, None
+    ids = F.broadcast(repeated) if n <= FEW else repeated
+    same = F.col(key).eqNullSafe(F.col("__repeated"))
+    return docs.join(ids, same, "left_anti"), docs.join(ids, same, "left_semi")
+
+
+def term_counts(docs: DataFrame, counts, key: str = "doc_id") -> DataFrame:
+    """Terms a document. counts: their Column, native.COUNTS; only rows that share their id meet."""
+
+    def rows(df: DataFrame) -> DataFrame:
+        # An inner inline would be filtered by its input's size, for which that is computed again.
+        return spread(df).select(key, counts.alias("c")).select(key, F.inline_outer("c")).where(F.col("n").isNotNull())
+
+    once, again = apart(docs, key)
+    if again is None:
+        return rows(once)
+    return rows(once).unionAll(rows(again).groupBy(key, "term").agg(F.sum("n").alias("n")))
 
 
 def counts_sql(terms: str, table_: str = "documents", key: str = "doc_id") -> str:
@@ -613,8 +636,7 @@ SELECT doc_id, x[1:k] AS term FROM (SELECT doc_id, unnest({TOKENS}) AS x FROM do
 
     @register(f"analyze_{name}", sql)
     def run(spark, d):
-        docs = spread(table(ship(spark), d, "documents"))
-        return term_counts(docs, make(native.simple_terms(F.col("text"))))
+        return term_counts(table(ship(spark), d, "documents"), native.counted(make(native.simple_terms(F.col("text")))))
 
 
 for _name in ANALYSES:
@@ -629,17 +651,17 @@ FROM (SELECT doc_id, unnest({TOKENS}) AS x FROM documents))) GROUP BY ALL""",
 )
 def analyze_ngram(spark, d):
     docs = table(ship(spark), d, "documents")
-    return term_counts(docs, native.ngrams(native.simple_terms(F.col("text")), 3, 3))
+    return term_counts(docs, native.counted(native.ngrams(native.simple_terms(F.col("text")), 3, 3)))
 
 
 @register("analyze_whitespace", counts_sql(r"regexp_extract_all(text, '[^ \t\n\r\f]+')"))
 def analyze_whitespace(spark, d):
-    return term_counts(table(ship(spark), d, "documents"), native.whitespace_terms(F.col("text")))
+    return term_counts(table(ship(spark), d, "documents"), native.counted(native.whitespace_terms(F.col("text"))))
 
 
 @register("analyze_keyword", "SELECT doc_id, lang AS term, count(*) AS n FROM documents GROUP BY ALL")
 def analyze_keyword(spark, d):
-    return term_counts(table(ship(spark), d, "documents"), native.keyword_terms(F.col("lang")))
+    return term_counts(table(ship(spark), d, "documents"), native.counted(native.keyword_terms(F.col("lang"))))
 
 
 @register(
@@ -648,15 +670,13 @@ def analyze_keyword(spark, d):
 )
 def analyze_html_strip(spark, d):
     pages = table(ship(spark), d, "pages")
-    terms = native.simple_terms(native.strip_html(F.col("html")))
-    return pages.select("page_id", F.explode(terms).alias("term")).groupBy("page_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return term_counts(pages, native.counted(native.simple_terms(native.strip_html(F.col("html")))), "page_id")
 
 
 def _by_analyzer(name: str):
     @register(f"analyze_{name}")
     def run(spark, d):
-        docs = documents(spark, d, name).docs
-        return term_counts(docs, F.transform("__tok_text", lambda t: t["term"]))
+        return term_counts(table(ship(spark), d, "documents"), native.counted_words(F.col("text"), name))
 
 
 for _name in ("standard", "web", "en", "fr", "de", "es", "it", "pt", "nl", "ru", "cjk"):

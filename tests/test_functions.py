@@ -2,6 +2,7 @@
 
 import math
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import geo, languages, native, snowball, stemmers
 from inkwell.functions import tokens as T
+from inkwell.plans import registry
 
 
 def terms(tokens):
@@ -210,3 +212,50 @@ def test_sortable_numbers(a, b):
     for shift in (0, 4, 60):
         v, s = geo.prefix_decoded(geo.prefix_coded(geo.sortable_int(a), shift))
         assert s == shift and v == geo.sortable_int(a) >> shift << shift
+
+
+def test_chunks_equal_the_whole_text():
+    texts = ("", " the  \n of", "word. (x) the&& #foo foo## www.&& xhttps://&& _a_ 'dogs' DOGS'S. l' é. the@x.com \\the/ the-a {the} ~the^")
+    texts += ("豈 一二", "\ufa6c 一 二三 ｱｲ ｶﾞ", "l'avion d’eau the\tTHE", "a" * 300 + " the " + "b-c" * 200, "می‌خواهم و در", "İstanbul'da ve", "0 00 the")
+    for name in ("standard", "web", "cjk", *languages.LANGUAGES, "fr-snowball"):
+        for text in texts:
+            found = languages.analyzer(name)(text)
+            chunks, got, start = languages.by_chunk(name), [], 0
+            for c in chunks.chunks(text):
+                terms, at, moved = chunks.of(c)
+                got += [(t, start + p) for t, p in zip(terms, at)]
+                start += moved
+            assert got == list(zip([t.term for t in found], T.positions(found))), (name, text)
+            assert chunks.counts(text) == {t: len(at) for t, at in T.frequencies(found).items()}
+
+
+def test_what_analysers_hold_in_python_is_bounded(spark):
+    """Tokens of a batch become Arrow as they are found: once they were all Python objects."""
+    from inkwell.functions.native import _Lists
+
+    out, most = _Lists("pos", pa.int32()), 0
+    for k in range(3000):
+        out.terms += ["word"] * 500
+        out.numbers.extend(range(500))
+        out.end()
+        most = max(most, len(out.terms))
+    assert most < _Lists.FLUSH + 500 and len(out.all()) == 3000
+    rows = spark.createDataFrame([(k, "cats the dog, cats " * 300) for k in range(1000)] + [(-1, None), (-2, "")], "k int, s string")
+    got = rows.select("k", native.tokens(F.col("s"), "en").alias("t"), native.counted_words(F.col("s"), "en").alias("c")).coalesce(1)
+    by = {r.k: r for r in got.collect()}
+    assert by[-1].t is None and by[-1].c is None and by[-2].t == [] and by[-2].c == []
+    assert all([x.pos for x in by[k].t[:4]] == [1, 3, 4, 5] and {(x.term, x.n) for x in by[k].c} == {("cat", 600), ("dog", 300)} for k in range(1000))
+
+
+def test_terms_counted_in_the_row(spark):
+    """No shuffle of terms, no second evaluation, but rows that share their id are counted together."""
+    rows = [(1, "b a b"), (2, "a"), (2, "a c"), (None, "z"), (None, "z"), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = native.counted(native.simple_terms(F.col("text")))
+    got = registry.term_counts(docs, counts)
+    want = {(1, "b", 2), (1, "a", 1), (2, "a", 2), (2, "c", 1), (None, "z", 2)}
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    alone = registry.term_counts(docs.where("doc_id = 1"), counts)
+    assert sorted(map(tuple, alone.collect())) == [(1, "a", 1), (1, "b", 2)]
+    plan = alone._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("regexp_extract_all") == 1
