@@ -17,6 +17,7 @@ from . import languages
 from . import tokens as T
 
 TOKENS = "array<struct<term:string,pos:int>>"
+PLACED = "array<struct<term:string,pos:array<int>>>"
 COUNTS = "array<struct<term:string,n:bigint>>"
 GAP = 100
 
@@ -132,6 +133,22 @@ def counted(terms: Column) -> Column:
     return runs(F.sort_array(terms), lambda t: t, one)
 
 
+def placed(tokens: Column) -> Column:
+    """PLACED of a token array: each distinct term and its positions, by a sort in the row."""
+    ordered = F.sort_array(F.transform(tokens, lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"))))
+
+    def one(a: Column, i: Column, n: Column) -> Column:
+        return F.struct(F.get(a, i)["term"].alias("term"), F.transform(F.slice(a, i + 1, n), lambda t: t["pos"]).alias("pos"))
+
+    return F.coalesce(runs(ordered, lambda t: t["term"], one), F.array().cast(PLACED))
+
+
+def unplaced(terms: Column) -> Column:
+    """The token array that placed() came from; terms at one position in their own order."""
+    each = F.transform(terms, lambda t: F.transform(t["pos"], lambda p: F.struct(p.alias("pos"), t["term"].alias("term"))))
+    return F.transform(F.sort_array(F.flatten(each)), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos")))
+
+
 # --- tokens --------------------------------------------------------------------------------
 
 

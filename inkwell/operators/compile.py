@@ -78,9 +78,11 @@ def edit_distance(a: str, b: str, most: int) -> int:
 def fuzzy_terms(index: Index, q: Q.Fuzzy) -> dict[str, int]:
     """Dictionary terms within the distance. A built-in bound selects; few terms reach the driver."""
     k = q.fuzziness
-    t = F.col("term")
-    near = t.startswith(q.term[: q.prefix]) & (F.abs(F.char_length(t) - len(q.term)) <= k)
-    near &= F.levenshtein(t, F.lit(q.term), 2 * k) >= 0  # a transposition is two plain edits
+
+    def near(t: Column) -> Column:
+        sized = t.startswith(q.term[: q.prefix]) & (F.abs(F.char_length(t) - len(q.term)) <= k)
+        return sized & (F.levenshtein(t, F.lit(q.term), 2 * k) >= 0)  # a transposition is two plain edits
+
     found = index.dictionary(q.field, near).select("term")
     out = {r.term: edit_distance(r.term, q.term, k) for r in found.toLocalIterator()}
     return {t: d for t, d in out.items() if d <= k}
@@ -344,7 +346,11 @@ def _accepting(leaves: list[TermsLeaf]) -> dict[str, Callable[[Column], Column]]
     by: dict[str, list] = {}
     for x in leaves:
         by.setdefault(x.field, []).append(x.accepts)
-    return {f: (lambda t, a=a: reduce(lambda x, y: x | y, (g(t) for g in a))) for f, a in by.items()}
+
+    def some(accepts: list) -> Callable[[Column], Column]:
+        return lambda t: reduce(lambda x, y: x | y, (g(t) for g in accepts))
+
+    return {f: some(a) for f, a in by.items()}
 
 
 def multi_search(indexes: list[Index], q: Q.Query, scored: bool = True) -> DataFrame:

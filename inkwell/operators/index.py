@@ -11,9 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -68,29 +65,15 @@ def infer_fields(df: DataFrame, analyzer: str = "standard") -> tuple[FieldSpec,
     return (*out, FieldSpec("_all", COMPOSITE, exclude=("_id",)))
 
 
-COUNTED = "array<struct<term:string,tf:int,at:array<struct<pos:int,src:string>>>>"
+def _placed(tokens: Column) -> Column:
+    """Of a token array each distinct term with its frequency and places, by a sort in the row."""
+    ordered = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t["term"].alias("term"), i.alias("i"), t["pos"].alias("pos"), t["src"].alias("src"))))
 
+    def posting(a: Column, i: Column, n: Column) -> Column:
+        at = F.transform(F.slice(a, i + 1, n), lambda t: F.struct(t["pos"].alias("pos"), t["src"].alias("src")))
+        return F.struct(F.get(a, i)["term"].alias("term"), n.alias("tf"), at.alias("at"))
 
-def counted_terms(tokens: pa.Array) -> pa.Array:
-    """Of token arrays each distinct term with its frequency and places; one sort a batch."""
-    rows, flat = pc.list_parent_indices(tokens).to_numpy(), tokens.flatten()
-    terms = flat.field("term").dictionary_encode()
-    codes = terms.indices.to_numpy()
-    key = rows.astype(np.int64) * max(1, len(terms.dictionary)) + codes
-    order = np.argsort(key, kind="stable")
-    start = np.flatnonzero(np.diff(key[order], prepend=-1))
-    bounds = np.append(start, len(order)).astype(np.int32)
-    places = pa.StructArray.from_arrays([flat.field("pos"), flat.field("src")], names=["pos", "src"])
-    first = order[start]
-    out = pa.StructArray.from_arrays(
-        [terms.dictionary.take(pa.array(codes[first])), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds), places.take(pa.array(order)))],
-        names=["term", "tf", "at"],
-    )
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows[first], np.arange(len(tokens) + 1)).astype(np.int32)), out)
-
-
-def _distinct_terms(tokens: Column, accept: Callable[[Column], Column]) -> Column:
-    return F.array_distinct(F.transform(F.filter(tokens, lambda t: accept(t["term"])), lambda t: t["term"]))
+    return native.runs(ordered, lambda t: t["term"], posting)
 
 
 @dataclass(frozen=True)
@@ -140,21 +123,43 @@ class Index:
     def is_many(self, column: str) -> bool:
         return isinstance(self.docs.schema[column].dataType, ST.ArrayType)
 
+    def _parts(self, name: str) -> list[FieldSpec]:
+        """The fields that a field's tokens come from: of a composite those that it takes."""
+        spec = self.fields.get(name)
+        if spec and spec.kind == COMPOSITE:
+            return [s for s in self.fields.values() if s.kind in (TEXT, KEYWORD) and spec.takes(s.name)]
+        return [spec] if spec else []
+
+    def plain(self, spec: FieldSpec) -> Column:
+        """array<struct<term,pos>> of a field that isn't composite, null where it has no value."""
+        if spec.name in self.stored_tokens:
+            return F.col(f"__tok_{spec.name}")
+        analyzer = "keyword" if spec.kind == KEYWORD else spec.analyzer
+        return native.tokens(F.col(f"`{spec.source}`"), analyzer, self.is_many(spec.source))
+
     def tokens(self, name: str) -> Column:
         """array<struct<term,pos,src>> of a field; empty where it has no value."""
-        spec = self.fields.get(name)
-        if spec is None:
-            return F.array().cast("array<struct<term:string,pos:int,src:string>>")
-        if spec.kind == COMPOSITE:
-            parts = [s for s in self.fields.values() if s.kind in (TEXT, KEYWORD) and spec.takes(s.name)]
-            return F.concat(*(self.tokens(s.name) for s in parts))
-        if name in self.stored_tokens:
-            plain = F.col(f"__tok_{name}")
-        else:
-            analyzer = "keyword" if spec.kind == KEYWORD else spec.analyzer
-            plain = native.tokens(F.col(f"`{spec.source}`"), analyzer, self.is_many(spec.source))
-        plain = F.coalesce(plain, F.array().cast(native.TOKENS))
-        return F.transform(plain, lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"), F.lit(name).alias("src")))
+        none = F.array().cast("array<struct<term:string,pos:int,src:string>>")
+
+        def of(s: FieldSpec) -> Column:
+            one = lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"), F.lit(s.name).alias("src"))
+            return F.coalesce(F.transform(self.plain(s), one), none)
+
+        parts = [of(s) for s in self._parts(name)]
+        return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else none
+
+    def terms(self, name: str) -> Column:
+        """The terms of tokens(), without building these."""
+        none = F.array().cast("array<string>")
+
+        def of(s: FieldSpec) -> Column:
+            analyzer = "keyword" if s.kind == KEYWORD else s.analyzer
+            if s.name in self.stored_tokens or self.is_many(s.source):
+                return F.transform(self.plain(s), lambda t: t["term"])
+            return native.TERMS[analyzer](F.col(f"`{s.source}`"))
+
+        parts = [F.coalesce(of(s), none) for s in self._parts(name)]
+        return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else none
 
     def length(self, name: str) -> Column:
         """Tokens of a field; of a stored one a number beside the document, not its tokens."""
@@ -164,7 +169,7 @@ class Index:
             return reduce(lambda a, b: a + b, map(self.length, parts), F.lit(0))
         if f"__len_{name}" in self.docs.columns:
             return F.col(f"__len_{name}")
-        return F.size(self.tokens(name))
+        return F.size(self.terms(name))
 
     def any_value(self, name: str, ok: Callable[[Column], Column]) -> Column:
         if name not in self.fields:
@@ -176,7 +181,7 @@ class Index:
         """A field's distinct values as an array: of a text field its terms."""
         spec = self.fields[name]
         if spec.kind == TEXT:
-            return F.array_distinct(F.transform(self.tokens(name), lambda t: t["term"]))
+            return F.array_distinct(self.terms(name))
         c = F.col(f"`{spec.source}`")
         return F.array_distinct(F.filter(c, lambda v: v.isNotNull())) if self.is_many(spec.source) else F.when(c.isNotNull(), F.array(c)).otherwise(F.array().cast(ST.ArrayType(self.docs.schema[spec.source].dataType)))
 
@@ -194,22 +199,16 @@ class Index:
 
     def _scan(self, name: str, accept: Callable[[Column], Column] | None, at: bool = False) -> DataFrame:
         out = [F.lit(name).alias("field"), *POSTING[1:], *(["at"] if at else [])]
-        base = self.docs.select("doc_num", self.tokens(name).alias("t"))
-        if accept is None:  # all terms, also of long documents: counted by a sort, in the row
-            base = base.where(F.size("t") > 0).select("doc_num", F.size("t").alias("dl"), F.arrow_udf(counted_terms, COUNTED)("t").alias("c"))
-            return base.select("doc_num", "dl", F.inline("c")).select(*out)
-        mine = F.filter("t", lambda t: accept(t["term"]))
-        base = base.select("doc_num", F.size("t").alias("dl"), mine.alias("t")).where(F.size("t") > 0)
-
-        def posting(term: Column) -> Column:
-            places = F.filter("t", lambda x: x["term"] == term)
-            parts = [term.alias("term"), F.size(places).alias("tf")]
-            if at:
-                parts.append(F.transform(places, lambda x: F.struct(x["pos"].alias("pos"), x["src"].alias("src"))).alias("at"))
-            return F.struct(*parts)
-
-        counted = F.transform(F.array_distinct(F.transform("t", lambda t: t["term"])), posting)
-        return base.select("doc_num", "dl", F.inline(counted)).select(*out)
+        if not at:
+            base = self.docs.select("doc_num", self.terms(name).alias("t"))
+            base = base.select("doc_num", F.size("t").alias("dl"), native.counted(F.filter("t", accept) if accept else F.col("t")).alias("c"))
+        else:
+            base = self.docs.select("doc_num", self.tokens(name).alias("t"))
+            mine = F.filter("t", lambda t: accept(t["term"])) if accept else F.col("t")
+            base = base.select("doc_num", F.size("t").alias("dl"), _placed(mine).alias("c"))
+        # An inner inline would be filtered by its input's size, for which that is computed again.
+        rows = base.select("doc_num", "dl", F.inline_outer("c").alias("term", "tf", *(["at"] if at else []))).where(F.col("tf").isNotNull())
+        return rows.withColumn("tf", F.col("tf").cast("int")).select(*out)
 
     def all_postings(self, name: str) -> DataFrame:
         if self.postings is not None:
@@ -247,8 +246,8 @@ class Index:
             return self.frequencies(hits).join(self.field_stats(list(accepts)).drop("total_docs"), "field")
         parts = []
         for name, accept in accepts.items():
-            base = self.docs.select(self.tokens(name).alias("t"))
-            mine = _distinct_terms(F.col("t"), accept)
+            base = self.docs.select(self.terms(name).alias("t"))
+            mine = F.array_distinct(F.filter("t", accept))
             rows = base.select(F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), mine)).alias("term"))
             parts.append(
                 rows.groupBy("term")
@@ -271,22 +270,25 @@ class Index:
         return hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
     def dictionary(
-        self, name: str, condition: Column | None = None, start: str = "", end: str = "", pattern: str = ""
+        self, name: str, condition: Callable[[Column], Column] | None = None, start: str = "", end: str = "", pattern: str = ""
     ) -> DataFrame:
         """term and df of a field's terms in [start, end), matching a pattern as a whole."""
-        t = F.col("term")
-        ok = F.lit(True) if condition is None else condition
-        if start:
-            ok &= t >= start
-        if end:
-            ok &= t < end
-        if pattern:
-            ok &= t.rlike(f"^(?s:{pattern})$")
+
+        def ok(t: Column) -> Column:
+            kept = condition(t) if condition else F.lit(True)
+            if start:
+                kept &= t >= start
+            if end:
+                kept &= t < end
+            if pattern:
+                kept &= t.rlike(f"^(?s:{pattern})$")
+            return kept
+
         if self.postings is not None:
-            rows = self.postings.where((F.col("field") == name) & ok)
-            return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        once = self.docs.select(F.explode(F.array_distinct(F.transform(self.tokens(name), lambda x: x["term"]))).alias("term"))
-        return once.where(ok).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            rows = self.postings.where((F.col("field") == name) & ok(F.col("term")))
+        else:
+            rows = self.docs.select(F.explode(F.array_distinct(F.filter(self.terms(name), ok))).alias("term"))
+        return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def count(self) -> int:
         return self.docs.count()

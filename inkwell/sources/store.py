@@ -1,6 +1,6 @@
 """Stored indexes: immutable segments, tombstones, and epochs that name them.
 
-    <path>/docs/segment=<n>-<id>             documents with their token arrays
+    <path>/docs/segment=<n>-<id>             documents with the terms of each text and their positions
     <path>/postings/segment=<n>-<id>         partitioned by field, sorted by term
     <path>/deleted/epoch=<e>-<before>-<id>   doc_nums of segments below `before` gone since that epoch
     <path>/manifest/<e>.json                 segments, deletions, statistics, checksum
@@ -28,12 +28,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import native
 from ..operators.index import COMPOSITE, KEYWORD, POSTING, TEXT, FieldSpec, Index, Similarity
+from ..session import spread
 from . import merge_plan
 
 # A doc_num is segment << SHIFT | partition << ROWS | row: 524,288 segments of 262,144 partitions
 # of 67,108,864 rows.
 SHIFT, ROWS = 44, 26
+# Segments whose names end so hold terms and positions; those of older versions hold tokens instead
+# (docs) and a structure for each position (postings).
+FORMAT = "-2"
 
 
 class Files:
@@ -123,6 +128,19 @@ def newest(spark: SparkSession, path: str) -> Manifest:
     return found[0] if found else Manifest(0)
 
 
+def with_tokens(docs: DataFrame, fields: Iterable[FieldSpec]) -> DataFrame:
+    """Stored documents with token arrays in place of the terms and positions that they are stored as.
+
+    Segments of older versions hold token arrays.
+    """
+    made = {}
+    for f in fields:
+        if f"__at_{f.name}" in docs.columns:
+            tokens = native.unplaced(F.col(f"__at_{f.name}"))
+            made[f"__tok_{f.name}"] = F.coalesce(F.col(f"__tok_{f.name}"), tokens) if f"__tok_{f.name}" in docs.columns else tokens
+    return docs.withColumns(made).drop(*(f"__at_{f.name}" for f in fields)) if made else docs
+
+
 @dataclass
 class IndexReader:
     """A point-in-time view: later batches don't change it."""
@@ -148,7 +166,13 @@ class IndexReader:
     def _live(self, part: str) -> DataFrame:
         # One scan, however many segments: their folders are its partitions.
         reader = self.spark.read.option("basePath", f"{self.path}/{part}").option("mergeSchema", part == "docs")
-        df = reader.parquet(*(f"{self.path}/{part}/segment={s}" for s in self.manifest.segments)).drop("segment")
+        now = [s for s in self.manifest.segments if s.endswith(FORMAT)]
+        old = [s for s in self.manifest.segments if not s.endswith(FORMAT)]
+        found = [reader.parquet(*(f"{self.path}/{part}/segment={s}" for s in names)).drop("segment") if names else None for names in (now, old)]
+        if part == "postings" and now:
+            at = F.transform("pos", lambda p, i: F.struct(p.alias("pos"), F.coalesce(F.get("src", i), F.col("field")).alias("src")))
+            found[0] = found[0].select(*POSTING, at.alias("at"))
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (x for x in found if x is not None))
         gone = self.gone()
         return df if gone is None else df.join(gone, "doc_num", "left_anti")
 
@@ -156,8 +180,8 @@ class IndexReader:
         if not self.manifest.segments:
             raise ValueError("the index has no segments")
         known = {"_id": FieldSpec("_id", KEYWORD, "keyword")} | {f.name: f for f in self.fields}
-        tokens = tuple(f.name for f in known.values() if f.kind in (TEXT, KEYWORD) and f.name != "_id")
-        return Index(self._live("docs"), known, self.similarity, self._live("postings"), tokens, self._stats())
+        tokens = tuple(f.name for f in self.fields if f.kind == TEXT)
+        return Index(with_tokens(self._live("docs"), self.fields), known, self.similarity, self._live("postings"), tokens, self._stats())
 
     def _stats(self) -> DataFrame | None:
         """The sums of what the segments were written with, as long as nothing is deleted from them."""
@@ -270,7 +294,7 @@ class IndexWriter:
 
     def _added(self, m: Manifest, rows: DataFrame) -> Manifest:
         """m with a segment of these rows, if there are any."""
-        name = f"{m.next_segment}-{uuid.uuid4().hex}"
+        name = f"{m.next_segment}-{uuid.uuid4().hex}{FORMAT}"
         stats = self._write(rows, name)
         m = replace(m, next_segment=m.next_segment + 1)
         size = next(iter(stats.values()))[2]
@@ -296,28 +320,44 @@ class IndexWriter:
     def _write(self, rows: DataFrame, segment: str) -> dict[str, list[int]]:
         """Writes a segment; documents with the field, tokens and all documents, by field."""
         base = F.lit(number(segment) << SHIFT)
-        index = Index.of(rows, self.id_col, self.fields, doc_num=F.monotonically_increasing_id())
+        index = Index.of(spread(rows), self.id_col, self.fields, doc_num=F.monotonically_increasing_id())
         texts = [f for f in index.fields.values() if f.kind in (TEXT, KEYWORD) and f.name != "_id"]
-        tok = {f"__tok_{f.name}": F.transform(index.tokens(f.name), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"))) for f in texts}
-        tok |= {f"__len_{f.name}": F.size(index.tokens(f.name)) for f in texts if f.name not in index.stored_tokens}
         # monotonically_increasing_id has the partition above 33 bits of the row.
         num = F.shiftleft(F.shiftright("doc_num", 33), ROWS) + F.col("doc_num").bitwiseAND(F.lit((1 << 33) - 1))
         docs_path, postings_path = (f"{self.path}/{part}/segment={segment}" for part in ("docs", "postings"))
-        docs = index.docs.withColumns(tok).withColumns(
-            {f"__len_{n}": F.coalesce(F.size(f"__tok_{n}"), F.lit(0)) for n in index.stored_tokens}
+        docs = index.docs
+        fresh = [f for f in texts if f"__len_{f.name}" not in docs.columns]
+        docs = docs.withColumns({f"__tok_{f.name}": F.coalesce(index.plain(f), F.array().cast(native.TOKENS)) for f in fresh})
+        docs = docs.withColumns(
+            {f"__len_{f.name}": F.size(f"__tok_{f.name}") for f in fresh}
+            | {f"__at_{f.name}": native.placed(F.col(f"__tok_{f.name}")) for f in fresh if f.kind == TEXT}
         )
-        docs.withColumn("doc_num", base + num).write.mode("error").parquet(docs_path)
+        docs = docs.drop(*(f"__tok_{f.name}" for f in texts)).withColumn("doc_num", base + num)
+        docs.write.mode("error").option("compression", "zstd").parquet(docs_path)
         docs = self.spark.read.parquet(docs_path)
-        stored = Index(docs, index.fields, stored_tokens=tuple(f.name for f in texts))
+        stored = Index(with_tokens(docs, self.fields), index.fields, stored_tokens=tuple(f.name for f in texts if f.kind == TEXT))
         names = [f.name for f in index.fields.values() if f.kind in (TEXT, KEYWORD, COMPOSITE)]
-        parts = [stored.all_postings(n) for n in names]
-        rows = reduce(DataFrame.unionAll, parts).select(*POSTING, "at")
+
         # Range partitions: a term's postings lie in few files, sorted, and a common term's in several.
+        columns = ("term", "doc_num", F.size("pos").alias("tf"), "dl", "pos", "src")
+        heavy = [n for n in names if f"__at_{n}" in docs.columns]
+        parts = [stored.all_postings(n).select("field", "term", "doc_num", "dl", F.col("at")["pos"].alias("pos"), F.col("at")["src"].alias("src")) for n in names if n not in heavy]
         by = ("field", "term", "doc_num")
-        rows.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("error").partitionBy("field").parquet(postings_path)
+        ordered = reduce(DataFrame.unionAll, parts).repartitionByRange(*by).sortWithinPartitions(*by).select("field", *columns)
+        ordered.write.mode("error").option("compression", "zstd").partitionBy("field").parquet(postings_path)
+        for n in heavy:
+            # By itself: sorted by a first key that differs, and shuffled without what is the same in all
+            # rows. Terms are read as they were stored, as finding the ranges reads them once more.
+            rows = docs.select("doc_num", F.col(f"__len_{n}").alias("dl"), F.inline_outer(f"__at_{n}")).where(F.col("pos").isNotNull())
+            ordered = rows.repartitionByRange(*by[1:]).sortWithinPartitions(*by[1:])
+            ordered = ordered.withColumn("src", F.lit(None).cast("array<string>")).select(*columns)
+            ordered.write.mode("error").option("compression", "zstd").parquet(f"{postings_path}/field={self._escaped(n)}")
         found = stored.field_stats(names).collect()  # a row a field
         return {r.field: [r.doc_count, r.sum_ttf, r.total_docs] for r in found}
 
+    def _escaped(self, name: str) -> str:
+        return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+
     def _commit(self, m: Manifest) -> Manifest:
         first = min(map(number, m.segments), default=m.next_segment)
         m = replace(m, deleted=tuple(d for d in m.deleted if before(d) > first))
@@ -358,8 +398,8 @@ class IndexWriter:
     def merge(self, segments: Iterable[int] | None = None) -> Manifest:
         """Rewrites segments as one without their deleted documents; by the merge plan if none are named."""
         m = self.manifest
-        live = self.live_sizes() if m.segments else {}
         if segments is None:
+            live = self.live_sizes() if m.segments else {}
             sizes = [merge_plan.Segment(s, m.live.get(s, 0), live.get(number(s), 0)) for s in m.segments]
             tasks = [[s.id for s in t] for t in merge_plan.plan(sizes, self.plan)]
         else:
@@ -368,8 +408,10 @@ class IndexWriter:
             self._renew()
             m = self.manifest
             view = IndexReader(self.spark, self.path, self.fields, Manifest(m.epoch, tuple(task), m.deleted))
-            docs = view.index().docs
-            columns = [c for c in docs.columns if not c.startswith(("__tok_", "__len_")) and c not in ("doc_num", "_id")]
+            docs = view._live("docs")
+            # What the segments were analysed to is taken over, unless one is of an older version.
+            analysed = ("__tok_",) if all(s.endswith(FORMAT) for s in task) else ("__tok_", "__len_", "__at_")
+            columns = [c for c in docs.columns if not c.startswith(analysed) and c not in ("doc_num", "_id")]
             left = tuple(s for s in m.segments if s not in task)
             kept = {"live": {s: m.live[s] for s in left}, "stats": {s: m.stats[s] for s in left}}
             m = replace(m, epoch=m.epoch + 1, segments=left, **kept)

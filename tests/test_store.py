@@ -1,11 +1,13 @@
 """Stored indexes: epochs, deletions, merging, recovery, streaming."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from inkwell.operators import query as Q
 from inkwell.operators.compile import matches
-from inkwell.operators.index import KEYWORD, NUMERIC, TEXT, FieldSpec, Index
+from inkwell.operators.index import COMPOSITE, KEYWORD, NUMERIC, TEXT, FieldSpec, Index
 from inkwell.sources import merge_plan as M
 from inkwell.sources.store import IndexReader, IndexWriter, build_offline, describe_snapshot, list_snapshots, manifests
 from inkwell.streaming.ingest import ingest
@@ -176,3 +178,43 @@ def test_required_ranges_reach_the_scan(spark, tmp_path):
     for q in (low, Q.Boolean(must=(low, Q.Term("dogs", "body")))):
         found = matches(ix, q)
         assert "GreaterThanOrEqual(n,1.5)" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 1
+
+
+def test_what_is_written(spark, tmp_path):
+    """Postings and their positions by the JVM, row by row; merging takes over what was analysed."""
+    path = str(tmp_path / "ix")
+    fields = (FieldSpec("body", TEXT, "simple"), FieldSpec("tag", KEYWORD), FieldSpec("all of it", TEXT, "simple", "tag"), FieldSpec("both", COMPOSITE, include=("body", "tag")))
+    data = rows(spark, ("a", "b a b", "a", 1.0), ("b", "", None, 2.0), ("c", None, "b", 2.0))
+    with IndexWriter(spark, path, fields, "id") as w:
+        w.batch(insert=data)
+        ix = w.reader().index()
+        got = {(r.field, r.term, r["_id"], r.tf, r.dl, tuple((x.pos, x.src) for x in r["at"])) for r in ix.postings.join(ix.docs, "doc_num").collect()}
+        want = {("_id", i, i, 1, 1, ((1, "_id"),)) for i in "abc"}
+        want |= {("body", "b", "a", 2, 3, ((1, "body"), (3, "body"))), ("body", "a", "a", 1, 3, ((2, "body"),))}
+        want |= {(f, t, i, 1, 1, ((1, f),)) for f in ("tag", "all of it") for t, i in (("a", "a"), ("b", "c"))}
+        want |= {("both", "a", "a", 2, 4, ((2, "body"), (1, "tag"))), ("both", "b", "a", 2, 4, ((1, "body"), (3, "body"))), ("both", "b", "c", 1, 1, ((1, "tag"),))}
+        assert got == want
+        tokens = {r["_id"]: [tuple(t) for t in r.t] for r in ix.docs.select("_id", ix.plain(ix.fields["body"]).alias("t")).collect()}
+        assert tokens == {"a": [("b", 1), ("a", 2), ("b", 3)], "b": [], "c": []}
+        plan = ix.postings._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan
+        w.merge(w.manifest.segments)
+        ix = w.reader().index()
+        assert got == {(r.field, r.term, r["_id"], r.tf, r.dl, tuple((x.pos, x.src) for x in r["at"])) for r in ix.postings.join(ix.docs, "doc_num").collect()}
+
+
+def test_segments_of_older_versions(spark, tmp_path):
+    """Their token arrays and positions are read beside those of new segments, and merged with them."""
+    path, fields = str(tmp_path / "ix"), (FieldSpec("body", TEXT, "simple"),)
+    with IndexWriter(spark, path, fields, "id", keep=3) as w:
+        w.batch(insert=rows(spark, ("a", "cats and dogs", "x", 1.0)))
+        ix = w.reader().index()
+        old = w.manifest.segments[0].removesuffix("-2")
+        ix.docs.withColumn("doc_num", F.col("doc_num")).write.parquet(f"{path}/docs/segment={old}")
+        ix.postings.write.partitionBy("field").parquet(f"{path}/postings/segment={old}")
+        w.manifest = replace(w.manifest, segments=(old,), live={old: 1}, stats={old: next(iter(w.manifest.stats.values()))})
+        w.batch(insert=rows(spark, ("b", "dogs and cats", "x", 1.0)))
+        phrase = Q.MatchPhrase("cats and", "body", "simple")
+        assert hits(w.reader(), phrase) == ["a"] and hits(w.reader(), Q.Match("dogs", "body", "simple")) == ["a", "b"]
+        w.merge(w.manifest.segments)
+        assert hits(w.reader(), phrase) == ["a"] and all(s.endswith("-2") for s in w.manifest.segments)
