@@ -140,6 +140,16 @@ def missing(of: Column, value) -> Column:
     return F.when(F.size(of) > 0, of).otherwise(F.array(F.lit(value)))
 
 
+def _about_distinct(v: Column) -> Column:
+    """A sketch's distinct count, with a standard error of 0.4 %.
+
+    Its buffer is one binary of 64 kB at most. That of approx_count_distinct is a column for every
+    ten registers, copied field by field.
+    """
+    hashed = F.when(v.isNotNull(), F.xxhash64(v))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(hashed, 16))
+
+
 def metrics_of(rows: DataFrame, by: list[str], metrics: dict[str, Metric]) -> DataFrame:
     """Metrics a group. Distinct counts and quantiles explode their values first, by themselves."""
     plain = {n: m for n, m in metrics.items() if m.kind not in ("cardinality", "quantile")}
@@ -149,7 +159,7 @@ def metrics_of(rows: DataFrame, by: list[str], metrics: dict[str, Metric]) -> Da
             continue
         values = rows.select(*by, F.explode_outer(m.of).alias("v"))
         if m.kind == "cardinality":
-            agg = F.count_distinct("v") if m.exact else F.approx_count_distinct("v", 0.005)
+            agg = F.count_distinct("v") if m.exact else _about_distinct(F.col("v"))
         else:
             points = F.array(*map(F.lit, m.points))
             agg = F.percentile("v", points) if m.exact else F.percentile_approx("v", points, 10_000)
