@@ -327,11 +327,12 @@ def _quoted(names: list[str]) -> list[str]:
 def _leaves(c: Compiled) -> DataFrame:
     """doc_num with the flag and score of each term leaf, and the tokens of each phrase's terms."""
     index, accepts = c.index, _accepting(c.terms)
-    hits = index.hits(accepts, at=bool(c.phrases))
+    at = bool(c.phrases)
+    hits = index.hits(accepts, at, shared=c.scored)
     mine = [(F.col("field") == x.field) & x.accepts(F.col("term")) for x in c.terms]
     aggs = [F.max(F.when(m, True)).alias(f"m{k}") for k, m in enumerate(mine)]
     if c.scored:
-        hits = hits.join(index.weights(accepts, hits), ["field", "term"])
+        hits = hits.join(index.weights(accepts, hits, at), ["field", "term"])
         avg = F.col("sum_ttf") / F.col("doc_count")
         for k, (x, m) in enumerate(zip(c.terms, mine)):
             sim = index.similarity_of(x.field)

@@ -187,25 +187,31 @@ class Index:
 
     # --- postings --------------------------------------------------------------------------
 
-    def hits(self, accepts: dict[str, Callable[[Column], Column]], at: bool = False) -> DataFrame:
+    def hits(self, accepts: dict[str, Callable[[Column], Column]], at: bool = False, shared: bool = False) -> DataFrame:
         """field, term, doc_num, tf, dl of the postings that a field's condition accepts; at: with
-        `at`, the position and source field of each occurrence."""
+        `at`, the position and source field of each occurrence. shared: weights() are wanted too."""
         if self.postings is not None:
             ok = reduce(
                 lambda a, b: a | b, ((F.col("field") == f) & accept(F.col("term")) for f, accept in accepts.items())
             )
             return self.postings.where(ok).select(*POSTING, *(["at"] if at else []))
-        return reduce(DataFrame.unionAll, (self._scan(f, accept, at) for f, accept in accepts.items()))
+        return reduce(DataFrame.unionAll, (self._scan(f, accept, at, shared) for f, accept in accepts.items()))
 
-    def _scan(self, name: str, accept: Callable[[Column], Column] | None, at: bool = False) -> DataFrame:
+    def _accepted(self, name: str, accept: Callable[[Column], Column] | None, at: bool, shared: bool) -> DataFrame:
+        """doc_num, dl and t, the accepted terms (tokens if at) of every document.
+
+        Shared, it ends in an exchange that Spark reuses: postings and weights come from one
+        analysis of the texts. Both read all of its columns.
+        """
+        base = self.docs.select("doc_num", (self.tokens(name) if at else self.terms(name)).alias("t"))
+        mine = F.filter("t", (lambda t: accept(t["term"])) if at else accept) if accept else F.col("t")
+        base = base.select("doc_num", F.size("t").alias("dl"), mine.alias("t"))
+        return base.repartition("doc_num") if shared else base
+
+    def _scan(self, name: str, accept: Callable[[Column], Column] | None, at: bool = False, shared: bool = False) -> DataFrame:
         out = [F.lit(name).alias("field"), *POSTING[1:], *(["at"] if at else [])]
-        if not at:
-            base = self.docs.select("doc_num", self.terms(name).alias("t"))
-            base = base.select("doc_num", F.size("t").alias("dl"), native.counted(F.filter("t", accept) if accept else F.col("t")).alias("c"))
-        else:
-            base = self.docs.select("doc_num", self.tokens(name).alias("t"))
-            mine = F.filter("t", lambda t: accept(t["term"])) if accept else F.col("t")
-            base = base.select("doc_num", F.size("t").alias("dl"), _placed(mine).alias("c"))
+        base = self._accepted(name, accept, at, shared)
+        base = base.select("doc_num", "dl", (_placed(F.col("t")) if at else native.counted(F.col("t"))).alias("c"))
         # An inner inline would be filtered by its input's size, for which that is computed again.
         rows = base.select("doc_num", "dl", F.inline_outer("c").alias("term", "tf", *(["at"] if at else []))).where(F.col("tf").isNotNull())
         return rows.withColumn("tf", F.col("tf").cast("int")).select(*out)
@@ -236,8 +242,9 @@ class Index:
         )
         return one.select(F.inline(rows))
 
-    def weights(self, accepts: dict[str, Callable[[Column], Column]], hits: DataFrame) -> DataFrame:
-        """field, term, df, doc_count, sum_ttf of the accepted terms: all that scores need.
+    def weights(self, accepts: dict[str, Callable[[Column], Column]], hits: DataFrame, at: bool = False) -> DataFrame:
+        """field, term, df, doc_count, sum_ttf of the accepted terms: all that scores need. hits: what
+        hits() gives, with the same `at` and shared.
 
         Without stored postings one pass gives both: every document adds its length under the
         null term, and itself under each of its accepted terms; tasks send a row a term.
@@ -246,9 +253,9 @@ class Index:
             return self.frequencies(hits).join(self.field_stats(list(accepts)).drop("total_docs"), "field")
         parts = []
         for name, accept in accepts.items():
-            base = self.docs.select(self.terms(name).alias("t"))
-            mine = F.array_distinct(F.filter("t", accept))
-            rows = base.select(F.size("t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), mine)).alias("term"))
+            mine = F.transform("t", lambda t: t["term"]) if at else F.col("t")
+            mine = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(mine))
+            rows = self._accepted(name, accept, at, True).select("dl", F.explode(mine).alias("term"))
             parts.append(
                 rows.groupBy("term")
                 .agg(F.count_if(F.col("dl") > 0).alias("df"), F.sum("dl").cast("long").alias("dls"))

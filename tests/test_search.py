@@ -158,3 +158,14 @@ def test_multi_valued_and_missing_phrase_slots(spark):
     assert find(("a",), ("a",)) == [2]
     assert find(("a",), ("b",), slop=1) == [1, 2]
     assert find(("a",), ("b",), ("a",)) == [1]
+
+
+def test_texts_are_analysed_once(spark):
+    """Postings and weights come from one exchange: the documents were read twice."""
+    docs = spark.createDataFrame([(1, "a cat and a dog"), (2, "two cats"), (3, "")], "id long, body string")
+    for analyzer, q in (("en", Q.Match("cat", "body", "en")), ("simple", Q.MatchPhrase("a dog", "body", "simple"))):
+        found = matches(Index.of(docs, "id", (FieldSpec("body", TEXT, analyzer),)), q)
+        assert sorted(r.doc_num for r in found.collect()) == ([1, 2] if analyzer == "en" else [1])
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("ReusedExchange") == 1
+        assert plan.count("ArrowEvalPython") == (analyzer == "en")
