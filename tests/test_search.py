@@ -169,3 +169,15 @@ def test_texts_are_analysed_once(spark):
         plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert plan.count("ReusedExchange") == 1
         assert plan.count("ArrowEvalPython") == (analyzer == "en")
+
+
+def test_terms_are_filtered_before_they_are_counted(spark):
+    """A dictionary takes a document's terms as they are, without structures, and drops them in the row."""
+    docs = spark.createDataFrame([(1, "from form fro far"), (2, "from FROM frim")], "id long, body string")
+    ix = Index.of(docs, "id", (FieldSpec("body", TEXT, "simple"),))
+    found = ix.dictionary("body", lambda t: t.startswith("fr"), end="fro_")
+    assert sorted(map(tuple, found.collect())) == [("frim", 1), ("fro", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct" not in plan and "Filter" not in plan
+    fuzzy = matches(ix, Q.Match("from", "body", "simple", fuzziness=1, prefix=1))
+    assert sorted(r.doc_num for r in fuzzy.collect()) == [1, 2]
